@@ -87,3 +87,14 @@ def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
+
+
+#: Ids up to this many are sent to all workers; more are joined by a shuffle.
+SMALL_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone(gone)``; null ids stay, all columns as they were."""
+    gone = written(gone.distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= SMALL_IDS else gone
+    return unpacked(packed(docs).join(side, F.col("row.doc_id") == F.col("gone"), "left_anti"))

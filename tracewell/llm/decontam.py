@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import need, packed, table, unpacked, written
+from tracewell.llm.common import need, table, without_ids, written
 from tracewell.llm.textvec import grams, raw, slices, words
 
 #: Shortest tile in words, and the share of an item's words that tiles must cover.
@@ -201,8 +201,7 @@ def _by_shuffle(texts: DataFrame, items: DataFrame, least: int, coverage: float,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; all columns as they were. Rows with a null doc_id or text stay."""
-    found = written(contamination(docs, benchmark, **how).select(F.col("doc_id").alias("leaks")).distinct(), "leaks")
-    return unpacked(packed(docs).join(found, F.col("row.doc_id") == F.col("leaks"), "left_anti"))
+    return without_ids(docs, contamination(docs, benchmark, **how).select(F.col("doc_id").alias("gone")))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

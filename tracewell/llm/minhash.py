@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import need, packed, table, unpacked, written
+from tracewell.llm.common import need, table, without_ids, written
 from tracewell.llm.graph import components
 from tracewell.llm.textvec import grams, mix, raw, slices, words
 
@@ -197,9 +197,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     One document of each group stays. Rows with a null doc_id, a null text or no word stay. Rows with one doc_id stay or go together.
     """
-    gone = near_pairs(docs).select(F.col("doc_id").alias("gone"))
-    rows = packed(docs)
-    return unpacked(rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti"))
+    return without_ids(docs, near_pairs(docs).select(F.col("doc_id").alias("gone")))
 
 
 def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
