@@ -29,8 +29,7 @@ def line_length(texts: DataFrame, most: int = 100) -> DataFrame:
 
 def keyword_case(texts: DataFrame, case: str = "consistent") -> DataFrame:
     """Keywords in the rarer case (upper wins ties), or not in ``case``; mixed case always. The line is where the same spelling first stands."""
-    pattern = r"(?i)\b(" + "|".join(KEYWORDS) + r")\b"
-    words = texts.select("id", "sql", F.posexplode(F.regexp_extract_all("sql", F.lit(pattern), F.lit(1))).alias("at", "word"))
+    words = texts.select("id", "sql", F.posexplode(F.filter(F.regexp_extract_all("sql", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.lower(w).isin(*KEYWORDS))).alias("at", "word"))
     upper, lower = F.col("word") == F.upper("word"), F.col("word") == F.lower("word")
     w = Window.partitionBy("id")
     wanted = F.lit(case) if case in ("upper", "lower") else F.when(F.count_if(upper).over(w) >= F.count_if(lower).over(w), "upper").otherwise("lower")
