@@ -61,7 +61,13 @@ def build_list(entries: DataFrame, path: str) -> str:
             fs.move(f"{folder}/.{n}.{mark}", f"{folder}/{n}")
         yield pa.record_batch([pa.array([at])], names=["bytes"])
 
-    rows.repartition(1).sortWithinPartitions(unsigned, "entry").mapInArrow(save, "bytes long").collect()
+    if not rows.repartition(1).sortWithinPartitions(unsigned, "entry").mapInArrow(save, "bytes long").collect():
+        # No entry, so perhaps no task: an empty list.
+        fs, folder = open_fs(path)
+        fs.create_dir(folder, recursive=True)
+        for name, content in (("keys.u64", b""), ("starts.i64", bytes(8)), ("strings.bin", b"")):
+            with fs.open_output_stream(f"{folder}/{name}") as out:
+                out.write(content)
     return path
 
 
