@@ -135,7 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = TILE, cove
         marks = [Benchmark(ids, own, n) for n, ids, own in sent.value]
         for batch in batches:
             out = []
-            for at, part in slices(batch.column(1), 2 << 20):
+            for at, part in slices(batch.column(1)):
                 h, first, _, _ = words(*raw(part))
                 for mark in marks:
                     out.extend((t + at, mark.ids[m], k, c, n, c / n) for t, m, k, c, n in mark.scan(h, first) if c >= coverage * n)
@@ -157,7 +157,7 @@ def _by_shuffle(texts: DataFrame, items: DataFrame, least: int, coverage: float,
 
     def seeds(batches):
         for batch in batches:
-            for at, part in slices(batch.column(1), 2 << 20):
+            for at, part in slices(batch.column(1)):
                 h, first, _, _ = words(*raw(part))
                 count = np.diff(first)
                 owner = np.repeat(np.arange(len(count)), count)

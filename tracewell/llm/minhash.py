@@ -74,7 +74,7 @@ def signature_table(docs: DataFrame) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            for at, part in slices(batch.column(1), 2 << 20):
+            for at, part in slices(batch.column(1)):
                 have, sig = signatures(*raw(part))
                 if len(have):
                     yield pa.record_batch([batch.column(0).take(pa.array(have + at)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "sig"])

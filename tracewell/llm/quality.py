@@ -151,7 +151,7 @@ def model_of(n: np.ndarray, total: np.ndarray, products: np.ndarray, to_pooled:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _features(texts: pa.Array) -> pa.Array:
-    parts = [statistics(*raw(part)) for _, part in slices(texts, 2 << 20)]
+    parts = [statistics(*raw(part)) for _, part in slices(texts)]
     x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES)).astype(np.int32)), pa.array(x.ravel()))
 
@@ -221,7 +221,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
-        parts = [statistics(*raw(part)) for _, part in slices(texts, 2 << 20)]
+        parts = [statistics(*raw(part)) for _, part in slices(texts)]
         x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
         return pa.array((x[:, 0] > 0) & (model.low_odds(x) <= threshold))
 

@@ -6,6 +6,8 @@ and the Latin-1 letters); general punctuation (U+2000-U+203F) and the no-break s
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,7 +23,13 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WORD[128:] = True
 
 #: Bytes hashed at once; bounds the memory of the numpy temporaries.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,7 +53,7 @@ def raw(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(arr: pa.Array, most_bytes: int = 4 << 20):
+def slices(arr: pa.Array, most_bytes: int = 1 << 19):
     """Consecutive (start, slice) of the array, each of about ``most_bytes`` at most; one long text is a slice of its own."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
@@ -57,6 +65,14 @@ def slices(arr: pa.Array, most_bytes: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
         yield at, arr.slice(at, to - at)
         at = to
+    _relax()
+
+
+def _relax() -> None:
+    """Give memory that a batch needed back to the system: idle workers would keep it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def folded(data: np.ndarray) -> np.ndarray:
