@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PLACEHOLDERS = ("", "Pending further documentation", "No description for this column", "Not documented", "Undefined")
+PLACEHOLDERS = ("Undefined", "Not documented", "No description for this column", "Pending further documentation", "")
 _FOLDS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
 
 

@@ -17,8 +17,8 @@ from tracewell.plans.reader import PlanReader
 from tracewell.sources.manifest import last_by_lookup_name, upstream
 
 #: Template names that can look like tables; never a column's source.
-RESERVED = ("target", "this", "model", "config", "var", "env_var", "builtins", "flags")
-DIALECTS = {"sqlserver": "tsql", "synapse": "tsql", "fabric": "tsql", "postgres": "postgres", "redshift": "redshift", "snowflake": "snowflake", "bigquery": "bigquery", "databricks": "databricks", "spark": "spark", "duckdb": "duckdb", "trino": "trino", "athena": "athena", "clickhouse": "clickhouse"}
+RESERVED = ("builtins", "config", "env_var", "flags", "model", "target", "this", "var")
+DIALECTS = {"sqlserver": "tsql"}
 CACHE_VERSION = 1
 
 

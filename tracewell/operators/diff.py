@@ -9,7 +9,7 @@ from tracewell.functions.text import ratio
 
 THRESHOLD = 85.0
 #: Type families, tried in order, by words their names contain.
-FAMILIES = (("integer", ("int",)), ("float", ("float", "double", "real")), ("text", ("char", "text", "string")), ("boolean", ("bool",)), ("timestamp", ("timestamp", "datetime")), ("date", ("date",)), ("numeric", ("numeric", "decimal", "number")))
+FAMILIES = (("integer", ("int",)), ("float", ("real", "double", "float")), ("text", ("char", "clob", "string", "text")), ("boolean", ("bit", "bool")), ("timestamp", ("datetime", "timestamp")), ("date", ("date",)), ("numeric", ("dec", "number", "numeric")))
 INTEGERS = ("tinyint", "smallint", "integer", "int", "bigint")
 
 
@@ -33,7 +33,7 @@ def is_narrowing(old: Column, new: Column) -> Column:
     smaller = (num(b, 2) < num(a, 2)) | F.coalesce(num(b, 3) < num(a, 3), F.lit(False))
     order = F.array(*[F.lit(x) for x in INTEGERS])
     at_a, at_b = F.array_position(order, a), F.array_position(order, b)
-    ranked = (at_a > 0) & (at_b > 0) & ((at_b < at_a) | ((a == "int") & (b == "integer")))
+    ranked = (at_a > 0) & (at_b > 0) & ((at_b < at_a))
     return F.coalesce(sized & smaller, F.lit(False)) | F.coalesce(ranked, F.lit(False))
 
 
@@ -77,19 +77,19 @@ def by_severity(changes: DataFrame, severity: str) -> DataFrame:
 
 
 RANK = {"renamed": 1, "added": 2, "type_changed": 3, "removed": 4, "metadata": 5}
-DIALECTS = {"postgres": "postgres", "redshift": "postgres", "snowflake": "snowflake", "bigquery": "bigquery", "databricks": "databricks", "spark": "databricks", "duckdb": "duckdb", "sqlserver": "sqlserver", "mysql": "mysql"}
-QUOTES = {"bigquery": ("`", "`"), "databricks": ("`", "`"), "mysql": ("`", "`"), "sqlserver": ("[", "]")}
+ALIASES = {"postgresql": "postgres", "redshift": "postgres", "mssql": "sqlserver"}
+QUOTES = {"bigquery": ("`", "`"), "databricks": ("`", "`"), "spark": ("`", "`"), "sqlserver": ("[", "]")}
 
 
 def quoted(name: Column, dialect: str) -> Column:
-    """A dotted name, each part quoted as the dialect does."""
+    """A dotted name, each part quoted as the dialect does unless it is already."""
     a, b = QUOTES.get(dialect, ('"', '"'))
-    return F.array_join(F.transform(F.split(name, r"\."), lambda p: F.concat(F.lit(a), p, F.lit(b))), ".")
+    return F.array_join(F.transform(F.split(name, r"\."), lambda p: F.when(p.startswith(a), p).otherwise(F.concat(F.lit(a), p, F.lit(b)))), ".")
 
 
 def migration_steps(changes: DataFrame, adapter: str = "duckdb") -> DataFrame:
     """(relation, step, category, description, sql, rollback_sql, is_breaking): DDL for the changes, in the order rename, add, type, remove."""
-    dialect = DIALECTS.get(adapter, "postgres")
+    dialect = ALIASES.get(adapter.lower(), adapter.lower())
     q = lambda c: quoted(c, dialect)
     t, c, n = q(F.col("relation")), q(F.col("column")), q(F.col("new_column"))
     category = F.col("category")
@@ -103,11 +103,11 @@ def migration_steps(changes: DataFrame, adapter: str = "duckdb") -> DataFrame:
     else:
         rename = F.concat(S("ALTER TABLE "), t, S(" RENAME COLUMN "), c, S(" TO "), n, S(";"))
         rename_back = F.concat(S("ALTER TABLE "), t, S(" RENAME COLUMN "), n, S(" TO "), c, S(";"))
-    verb = {"postgres": " TYPE ", "duckdb": " TYPE ", "snowflake": " SET DATA TYPE ", "bigquery": " SET DATA TYPE ", "databricks": " TYPE ", "sqlserver": " ", "mysql": " "}[dialect]
-    head = " MODIFY COLUMN " if dialect == "mysql" else " ALTER COLUMN "
-    retype = lambda ty: F.concat(S("ALTER TABLE "), t, S(head), c, S(verb), ty, S(";"))
+    verb = {"snowflake": " SET DATA TYPE ", "bigquery": " SET DATA TYPE ", "sqlserver": " "}.get(dialect, " TYPE ")
+    alter = F.concat(S(" CHANGE COLUMN "), c, S(" "), c, S(" ")) if dialect == "spark" else F.concat(S(" ALTER COLUMN "), c, S(verb))
+    retype = lambda ty: F.concat(S("ALTER TABLE "), t, alter, ty, S(";"))
     add = "ADD" if dialect == "sqlserver" else "ADD COLUMN"
-    sql = F.when(category == "renamed", rename).when(category == "added", F.concat(S("ALTER TABLE "), t, S(f" {add} "), c, S(" "), F.col("new_type"), S(";"))).when(category == "type_changed", retype(F.col("new_type"))).otherwise(F.concat(S("ALTER TABLE "), t, S(" DROP COLUMN "), c, S(";")))
+    sql = F.when(category == "renamed", rename).when(category == "added", F.concat(S("ALTER TABLE "), t, S(f" {add} "), c, F.coalesce(F.concat(S(" "), F.col("new_type")), S("")), S(";"))).when(category == "type_changed", retype(F.col("new_type"))).otherwise(F.concat(S("ALTER TABLE "), t, S(" DROP COLUMN "), c, S(";")))
     back = F.when(category == "renamed", rename_back).when(category == "added", F.concat(S("ALTER TABLE "), t, S(" DROP COLUMN "), c, S(";"))).when(category == "type_changed", retype(F.col("old_type"))).otherwise(F.concat(S("-- "), F.col("column"), S(" can't be restored; add it again as "), F.coalesce("old_type", S("unknown"))))
     text = F.when(category == "renamed", F.concat(S("Rename "), F.col("column"), S(" to "), F.col("new_column"))).when(category == "added", F.concat(S("Add "), F.col("column"))).when(category == "type_changed", F.concat(S("Change type of "), F.col("column"), S(" from "), F.col("old_type"), S(" to "), F.col("new_type"))).otherwise(F.concat(S("Remove "), F.col("column")))
     breaking = (category == "removed") | ((category == "type_changed") & (F.col("severity") == "breaking")) | ((category == "renamed") & F.lit(dialect == "databricks"))

@@ -70,7 +70,7 @@ def render_model_yaml(name: str, columns: list[dict], description: str = "", wid
         pass
 
     Dumper.add_representer(Folded, lambda d, v: d.represent_scalar("tag:yaml.org,2002:str", v, style=">"))
-    fold = lambda t: Folded(t) if len(t) > width else t
+    fold = lambda t: Folded(" ".join(t.split())) if len(t) > width else t
     doc = {"version": 2, "models": [{"name": name, **({"description": fold(description)} if description else {}), "columns": [{k: fold(v) if k == "description" else v for k, v in c.items() if v not in (None, "", [], {})} for c in columns]}]}
     return yaml.dump(doc, Dumper=Dumper, sort_keys=False, width=width, allow_unicode=True)
 

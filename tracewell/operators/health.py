@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import is_placeholder, word_count
 from tracewell.operators.annotate import STYLE, Style, stripped
 
-GENERIC_MODEL = ("this is a", "contains data", "table for", "model of")
-GENERIC_COLUMN = ("the id", "the name", "the value")
+GENERIC_MODEL = ("contains data", "model of", "table for", "this is a")
+GENERIC_COLUMN = ("the value", "the name", "the id")
 
 
 def node_health(columns: DataFrame, nodes: DataFrame, glossary: DataFrame, style: Style = STYLE) -> DataFrame:
@@ -99,9 +99,9 @@ def check_lengths(nodes: DataFrame, columns: DataFrame, model_length: int = 10,
     return n.union(columns.select("unique_id", "column", F.length(F.trim("description")) >= column_length))
 
 
-SUFFIXES = ("_id", "_date", "_time", "_at", "_ts", "_amount", "_count", "_flag", "_bool")
-PREFIXES = ("is_", "has_", "can_", "should_")
-SUGGESTED = ("*_id", "*_date", "*_amount", "status", "is_*")
+SUFFIXES = ("_amount", "_at", "_bool", "_count", "_date", "_flag", "_id", "_time", "_ts")
+PREFIXES = ("can_", "has_", "is_", "should_")
+SUGGESTED = ("is_*", "status", "*_amount", "*_date", "*_id")
 
 
 def pattern_of(column: Column) -> Column:

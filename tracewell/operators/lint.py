@@ -11,7 +11,7 @@ from tracewell.plans.lineage import deep_walk
 from tracewell.plans.reader import Node, PlanReader
 
 KEYWORDS = tuple("all alter and as between by case create delete distinct drop else end except exists false from full group having in index inner insert intersect into is join left like limit not null offset on or order outer over partition recursive right select set table then true union update values when where with".split())
-RESERVED = ("select", "from", "where", "group", "order")
+RESERVED = ("from", "group", "order", "select", "where")
 LEVELS = {"keyword-case": "convention", "line-length": "info", "select-star": "warning", "table-alias": "convention", "quoted-identifier": "info", "parse-error": "error", "no-sql": "warning", "not-found": "error"}
 VIOLATION = "id string, rule_id string, level string, line int, col int, message string, snippet string, fix string"
 

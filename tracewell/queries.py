@@ -533,7 +533,7 @@ def resolve_settings(spark, sf_dir):
 
 
 # Health, tests.
-_CLS = "CASE WHEN trim(description) IN ('', 'Pending further documentation', 'No description for this column', 'Not documented', 'Undefined') THEN 'u' WHEN position('Renamed from:' IN description) = 1 THEN 'a' WHEN col IN ('l_shipdate', 'segment') THEN 'g' WHEN owner = 'upstream' THEN 'i' ELSE 'w' END"
+_CLS = "CASE WHEN trim(description) IN ('Undefined', 'Not documented', 'No description for this column', 'Pending further documentation', '') THEN 'u' WHEN position('Renamed from:' IN description) = 1 THEN 'a' WHEN col IN ('l_shipdate', 'segment') THEN 'g' WHEN owner = 'upstream' THEN 'i' ELSE 'w' END"
 HEALTH = f"SELECT n.unique_id, count(col) AS total, count(*) FILTER (k = 'u') AS undocumented, count(*) FILTER (k = 'a') AS annotation_only, count(*) FILTER (k = 'g') AS glossary, count(*) FILTER (k = 'i') AS inherited, count(*) FILTER (k = 'w') AS authored, CASE WHEN count(col) = 0 THEN 100.0::DOUBLE ELSE round(100.0::DOUBLE * count(*) FILTER (k IN ('g', 'i', 'w')) / count(col), 2) END AS coverage FROM {NODES.replace('AS nodes', 'AS n')} LEFT JOIN (SELECT unique_id, col, {_CLS} AS k FROM {COLS}) c ON c.unique_id = n.unique_id GROUP BY n.unique_id"
 
 
@@ -574,7 +574,7 @@ def test_patterns(spark, sf_dir):
     f"""WITH c AS (SELECT unique_id, col, lower(data_type) AS t, {_pattern_sql('col')} AS p FROM {COLS}), t AS (SELECT * FROM {TESTS}), x AS (SELECT c.p, c.t, t.test_name FROM t LEFT JOIN c ON c.unique_id = t.unique_id AND c.col = t.col),
 l AS (SELECT 'pattern' AS scope, p AS key, test_name, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'type', t, test_name, count(*) FROM x WHERE t IS NOT NULL GROUP BY ALL),
 r AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY scope, key ORDER BY n DESC, test_name) <= CASE scope WHEN 'pattern' THEN 5 ELSE 3 END),
-s AS (SELECT c.unique_id, c.col, r.test_name, 'pattern' AS reason FROM c JOIN r ON scope = 'pattern' AND r.key = c.p WHERE c.p IN ('*_id', '*_date', '*_amount', 'status', 'is_*') UNION ALL SELECT c.unique_id, c.col, r.test_name, 'type' FROM c JOIN r ON scope = 'type' AND r.key = c.t)
+s AS (SELECT c.unique_id, c.col, r.test_name, 'pattern' AS reason FROM c JOIN r ON scope = 'pattern' AND r.key = c.p WHERE c.p IN ('is_*', 'status', '*_amount', '*_date', '*_id') UNION ALL SELECT c.unique_id, c.col, r.test_name, 'type' FROM c JOIN r ON scope = 'type' AND r.key = c.t)
 SELECT unique_id, col AS column_name, test_name, min(reason) AS reason FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.unique_id = s.unique_id AND t.col = s.col AND t.test_name = s.test_name) GROUP BY ALL"""
 )
 def suggest_tests(spark, sf_dir):

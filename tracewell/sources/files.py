@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell import schemas
 
-MANAGED = ("version", "models", "sources", "seeds", "unit_tests", "data_tests")
+MANAGED = ("data_tests", "models", "seeds", "sources", "unit_tests", "version")
 
 
 def split_sections(doc: dict | None) -> tuple[dict, dict]:
