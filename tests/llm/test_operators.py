@@ -126,6 +126,36 @@ def test_warc_duplicates_by_shuffle_and_empty(spark, tmp_path, monkeypatch):
     assert warc.write_deduplicated(warc.captures_of_pages(pages.limit(0)), str(tmp_path / "c")).count() == 0
 
 
+def test_warc_decides_each_row(spark, tmp_path):
+    one, two, three = bytearray(b"one"), bytearray(b"two"), bytearray(b"three")
+    rows = [
+        # Null ids with different digests; the second is a duplicate of a named record.
+        (None, "response", "u1", "2024-01-02", "d1", None, one), (None, "response", "u2", "2024-01-03", "d2", None, two), ("b", "response", "u2", "2024-01-01", "d2", None, two), (None, "revisit", "u1", "2024-02-01", "d1", None, None),
+        # One id with two digests: one a duplicate, the other's payload is nowhere else.
+        ("s", "response", "u3", "2024-01-04", "d2", None, two), ("s", "response", "u4", "2024-01-05", "d3", None, three), ("v", "revisit", "u4", "2024-02-01", "d3", None, None), ("t", "response", "u5", "2024-01-06", "d3", None, three),
+        # A repeated original, a null digest, an original and a revisit of one id, other types of a known digest.
+        ("p", "response", "u6", "2024-01-01", "d4", None, None), ("p", "response", "u6", "2024-01-01", "d4", None, bytearray(b"four")), ("p", "response", "u6", "2024-01-01", "d4", None, bytearray(b"four")), (None, "response", None, None, None, None, one),
+        ("p", "revisit", "u6", "2024-01-01", "d4", None, None), ("p", "metadata", "u6", "2024-01-01", "d4", None, two), ("p", None, "u6", "2024-01-01", "d4", None, two),
+    ]
+    want = Counter([
+        (None, "u1", "response", "original", None), (None, "u2", "revisit", "duplicate", "b"), ("b", "u2", "response", "original", None), (None, "u1", "revisit", "resolved", None),
+        ("s", "u3", "revisit", "duplicate", "b"), ("s", "u4", "response", "original", None), ("v", "u4", "revisit", "resolved", "s"), ("t", "u5", "revisit", "duplicate", "s"),
+        ("p", "u6", "response", "original", None), ("p", "u6", "revisit", "duplicate", "p"), ("p", "u6", "revisit", "duplicate", "p"), (None, None, "response", "original", None),
+        ("p", "u6", "revisit", "resolved", "p"), ("p", "u6", "metadata", "other", None), ("p", "u6", "resource", "other", None),
+    ])
+    for small in (warc.SMALL_ROWS, -1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(warc, "SMALL_ROWS", small)
+            path = str(tmp_path / f"out{small}")
+            index = warc.write_deduplicated(records(spark, rows).withColumn("http_headers", F.lit("HTTP/1.1 200 OK\r\n\r\n")).repartition(3), path).collect()
+        assert Counter((r.record_id, r.target_uri, r.warc_type, r.status, r.refers_to) for r in index) == want
+        back = warc.read_archive(spark, glob.glob(path + "/*.gz")).collect()
+        assert Counter(bytes(r.payload) for r in back if r.warc_type == "response") == Counter([b"one", b"one", b"two", b"three", b"four"])
+        # A revisit of a record without an id points at the id that this record was given.
+        made = {r.target_uri: r.record_id for r in back if r.warc_type == "response" and r.record_id.startswith("<urn")}
+        assert len(set(made.values())) == 2 and [r.refers_to for r in back if r.warc_type == "revisit" and r.target_uri == "u1"] == [made["u1"]]
+
+
 # 2 Exact dedup.
 
 

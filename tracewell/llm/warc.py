@@ -23,38 +23,31 @@ SMALL_ROWS = 200_000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def resolved_headers(records: DataFrame) -> DataFrame:
-    """(record_id, warc_type, target_uri, warc_date, payload_digest, status, refers_to, refers_uri, refers_date) of each record.
+def originals(records: DataFrame) -> DataFrame:
+    """(payload_digest, refers_to, refers_uri, refers_date, responses, copies) of each digest that a response has.
 
-    Only headers are shuffled, by payload digest. The original of a digest is its first response by (date, record_id);
-    status is "original" for it, "duplicate" for later responses of that digest, which become revisits of it,
-    "resolved" for revisits whose digest has an original, "unresolved" for those that have none (or a null digest),
-    and "other" for further record types. A response with a null digest is an original of its own. Equal record ids (repeated rows) fall together.
+    Only headers are shuffled, by payload digest. The original of a digest is its first response by (date, record_id,
+    target_uri), nulls first; refers_* are its headers, ``responses`` counts the digest's responses and ``copies`` those of them
+    that have just the original's headers. Null digests have no row.
     """
-    head = records.select("record_id", "warc_type", "target_uri", "warc_date", "payload_digest").groupBy("record_id").agg(*[F.min_by(c, F.struct("warc_type", "warc_date", "target_uri", "payload_digest")).alias(c) for c in ("warc_type", "target_uri", "warc_date", "payload_digest")])
-    is_response = F.col("warc_type") == "response"
-    known = head.where("payload_digest IS NOT NULL AND warc_type IN ('response', 'revisit')")
-    first = F.min(F.when(is_response, F.struct("warc_date", "record_id", "target_uri"))).over(Window.partitionBy("payload_digest"))
-    known = known.withColumn("first", first)
-    status = F.when(is_response, F.when(F.col("first.record_id") == F.col("record_id"), "original").otherwise("duplicate")).otherwise(F.when(F.col("first").isNull(), "unresolved").otherwise("resolved"))
-    known = known.withColumn("status", status)
-    points = F.col("status").isin("duplicate", "resolved")
-    known = known.select(*head.columns, "status", *[F.when(points, F.col(f"first.{c}")).alias(to) for c, to in (("record_id", "refers_to"), ("target_uri", "refers_uri"), ("warc_date", "refers_date"))])
-    rest = head.where("payload_digest IS NULL OR warc_type IS NULL OR warc_type NOT IN ('response', 'revisit')")
-    none = F.lit(None).cast("string")
-    rest = rest.select(*head.columns, F.when(is_response, "original").when(F.col("warc_type") == "revisit", "unresolved").otherwise("other").alias("status"), none.alias("refers_to"), none.alias("refers_uri"), none.alias("refers_date"))
-    return known.union(rest)
-
-
-def _urn(record_id: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, record_id)}>"
-
-
-def _record(record_id, kind, uri, date, digest, refers_to, refers_uri, refers_date, http, payload) -> tuple[bytes, int]:
-    """(one record with fresh headers, length of its block)."""
+    head = records.where("warc_type = 'response' AND payload_digest IS NOT NULL").select("payload_digest", "warc_date", "record_id", "target_uri")
+    # Shuffled once: both groupings are by the digest.
+    each = head.repartition("payload_digest").groupBy(*head.columns).agg(F.count("*").alias("copies"))
+    first = F.min(F.struct("warc_date", "record_id", "target_uri", "copies")).alias("first")
+    found = each.groupBy("payload_digest").agg(first, F.sum("copies").alias("responses"))
+    return found.select("payload_digest", F.col("first.record_id").alias("refers_to"), F.col("first.target_uri").alias("refers_uri"), F.col("first.warc_date").alias("refers_date"), "responses", F.col("first.copies").alias("copies"))
+
+
+def _urn(record_id: str | None, *headers: str | None) -> str:
+    """The id written for a record; one without an id gets it from its headers."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, repr(headers) if record_id is None else record_id)}>"
+
+
+def _record(record_id, kind, uri, date, digest, refers, refers_to, refers_uri, refers_date, http, payload) -> tuple[bytes, int]:
+    """(one record with fresh headers, length of its block). ``refers`` says whether there is an original; its id can be null."""
     http = (http or "").encode()
     block = http if kind == "revisit" else http + (payload or b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(record_id or '')}", f"WARC-Date: {date or '1970-01-01T00:00:00Z'}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(record_id, kind, date, uri, digest)}", f"WARC-Date: {date or '1970-01-01T00:00:00Z'}"]
     if uri is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", uri))
     if digest is not None:
@@ -62,11 +55,12 @@ def _record(record_id, kind, uri, date, digest, refers_to, refers_uri, refers_da
     lines.append(f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}")
     if kind == "revisit":
         lines.append(f"WARC-Profile: {PROFILE}")
-        if refers_to is not None:
-            lines += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Refers-To-Date: {refers_date}"]
+        if refers:
+            lines += [f"WARC-Refers-To: {_urn(refers_to, 'response', refers_date, refers_uri, digest)}", f"WARC-Refers-To-Date: {refers_date or '1970-01-01T00:00:00Z'}"]
             if refers_uri is not None:
                 lines.append("WARC-Refers-To-Target-URI: " + re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", refers_uri))
-    lines.append(f"X-Source-Record-ID: {record_id or ''}")
+    if record_id is not None:
+        lines.append(f"X-Source-Record-ID: {record_id}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", len(block)
 
@@ -74,24 +68,49 @@ def _record(record_id, kind, uri, date, digest, refers_to, refers_uri, refers_da
 def write_deduplicated(records: DataFrame, path: str, level: int = 6) -> DataFrame:
     """Write ``records`` as gzipped WARC files under ``path``, every payload once; give the index of what was written (INDEX).
 
+    Every row is decided by its own headers, whatever other rows share its record_id. ``status`` is "original" for the first
+    response of a digest (see originals()) and for a response with a null digest, "duplicate" for further responses of
+    that digest, which become revisits of it, "resolved" for revisits whose digest has an original, "unresolved" for those
+    that have none (or a null digest), and "other" for further record types. Null record_ids stay null in the index; such
+    records are records of their own, written with an id made of their headers, and a revisit of one has a null refers_to.
+
     Payloads aren't shuffled: rows are written where they are read, next to what the headers' shuffle found for
-    them. Each file is written under a task attempt's own name and moved to its partition's name when whole, so a task
-    that runs again leaves one file. Rows that share a record_id are written once for each row. A null record_id counts as an empty one.
-    Null payloads and headers are empty. No records give no files and an empty index.
+    them. Only where an original is repeated, headers and all, its rows are shuffled, and one of them (one with a payload,
+    if any) stays whole. Each file is written under a task attempt's own name and moved to its partition's name when whole,
+    so a task that runs again leaves one file. Null payloads and headers are empty. No records give no files and an empty index.
     """
     need(records, *[c.split()[0] for c in RECORD.split(", ")])
     spark = records.sparkSession
-    records = records.withColumn("record_id", F.coalesce("record_id", F.lit("")))
-    heads = written(resolved_headers(records), "heads")
-    changed = heads.where("status = 'duplicate'").select("record_id", "status", "refers_to", "refers_uri", "refers_date")
-    if changed.count() <= SMALL_ROWS:
-        changed = F.broadcast(changed)
+    firsts = written(originals(records), "originals")
+    refers = ["refers_to", "refers_uri", "refers_date"]
+
+    def sent(found: DataFrame) -> DataFrame:
+        found = found.withColumn("found", F.lit("response"))
+        return F.broadcast(found) if found.count() <= SMALL_ROWS else found
+
     columns = ["record_id", "target_uri", "warc_date", "payload_digest", "http_headers"]
-    full = records.where("NOT warc_type <=> 'revisit'").select(*columns, "warc_type", "payload").join(changed, "record_id", "left")
-    duplicate = F.col("status").isNotNull()
-    full = full.select(*columns, F.when(duplicate, "revisit").otherwise(F.coalesce("warc_type", F.lit("resource"))).alias("warc_type"), F.when(~duplicate, F.col("payload").cast("binary")).alias("payload"), F.coalesce("status", F.when(F.col("warc_type") == "response", "original").otherwise("other")).alias("status"), "refers_to", "refers_uri", "refers_date")
-    again = records.where("warc_type = 'revisit'").select(*columns).join(heads.select("record_id", "status", "refers_to", "refers_uri", "refers_date"), "record_id")
-    again = again.select(*columns, F.lit("revisit").alias("warc_type"), F.lit(None).cast("binary").alias("payload"), "status", "refers_to", "refers_uri", "refers_date")
+    whole = records.where("NOT warc_type <=> 'revisit'").select(*columns, "warc_type", "payload")
+    own = F.col("record_id").eqNullSafe(F.col("refers_to")) & F.col("target_uri").eqNullSafe(F.col("refers_uri")) & F.col("warc_date").eqNullSafe(F.col("refers_date"))
+
+    def of_digest(found: DataFrame, how: str) -> DataFrame:
+        """Rows beside the original of their digest; only responses have one."""
+        named = sent(found).withColumnRenamed("payload_digest", "digest")
+        return whole.join(named, (F.col("payload_digest") == F.col("digest")) & (F.col("warc_type") == F.col("found")), how)
+
+    def stated(rows: DataFrame, duplicate: F.Column) -> DataFrame:
+        rows = rows.withColumn("duplicate", duplicate)
+        status = F.when(F.col("duplicate"), "duplicate").when(F.col("warc_type") == "response", "original").otherwise("other").alias("status")
+        kind = F.when(F.col("duplicate"), "revisit").otherwise(F.coalesce("warc_type", F.lit("resource"))).alias("warc_type")
+        return rows.select(*columns, kind, F.when(~F.col("duplicate"), F.col("payload").cast("binary")).alias("payload"), status, *[F.when(F.col("duplicate"), F.col(c)).alias(c) for c in refers])
+
+    found = F.col("found").isNotNull()
+    full = stated(of_digest(firsts.where("responses > 1"), "left").where(~found | ~own | (F.col("copies") == 1)), found & ~own)
+    repeated = firsts.where("copies > 1")
+    if not repeated.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("payload_digest").orderBy(F.col("payload").isNull(), F.col("http_headers")))
+        full = full.unionByName(stated(of_digest(repeated, "inner").where(own).withColumn("nth", nth), F.col("nth") > 1))
+    again = records.where("warc_type = 'revisit'").select(*columns).join(firsts.select("payload_digest", *refers, F.lit("resolved").alias("status")), "payload_digest", "left")
+    again = again.select(*columns, F.lit("revisit").alias("warc_type"), F.lit(None).cast("binary").alias("payload"), F.coalesce("status", F.lit("unresolved")).alias("status"), *refers)
 
     def save(batches):
         fs = out = None
@@ -106,7 +125,7 @@ def write_deduplicated(records: DataFrame, path: str, level: int = 6) -> DataFra
                         fs, folder = open_fs(path)
                         fs.create_dir(folder, recursive=True)
                         out = fs.open_output_stream(f"{folder}/{draft}")
-                    body, block = _record(r["record_id"], r["warc_type"], r["target_uri"], r["warc_date"], r["payload_digest"], r["refers_to"], r["refers_uri"], r["refers_date"], r["http_headers"], r["payload"])
+                    body, block = _record(r["record_id"], r["warc_type"], r["target_uri"], r["warc_date"], r["payload_digest"], r["status"] in ("duplicate", "resolved"), r["refers_to"], r["refers_uri"], r["refers_date"], r["http_headers"], r["payload"])
                     member = gzip.compress(body, level, mtime=0)
                     out.write(member)
                     rows.append((r["record_id"], r["warc_type"], r["status"], r["target_uri"], r["warc_date"], r["payload_digest"], r["refers_to"], block, name, at, len(member)))
