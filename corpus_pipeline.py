@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import new_path, table
-from tracewell.llm.decontam import drop_contaminated
-from tracewell.llm.minhash import drop_near_duplicates
+from tracewell.llm.decontam import drop_contaminated_rows
+from tracewell.llm.minhash import drop_near_rows
 from tracewell.llm.mixing import keep_mixed
 from tracewell.llm.quality import keep_good
 from tracewell.llm.token_output import tokenized_documents
@@ -18,13 +18,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each group of near copies the document with the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Operator 4: of each group of near copies the row with the smallest doc_id stays; null and repeated ids are compared, too."""
+    return drop_near_rows(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that hold a benchmark item go."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Operator 8: rows whose text holds a benchmark item go, whatever their doc_id."""
+    return drop_contaminated_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -311,6 +311,21 @@ def test_near_awkward(spark):
     assert minhash.near_pairs(empty(spark)).count() == 0 and minhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("small", [common.SMALL_IDS, -1])
+def test_near_rows(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL_IDS", small)
+    rng = random.Random(12)
+    a, b, c, d = (sentence(rng, 60) for _ in range(4))
+    # Copies under null ids, a repeated row, one id with two texts, a null id alone, and what has no words.
+    rows = [(5, a, "s"), (None, a, "s"), (None, a + " end", "s"), (6, b, "s"), (6, b, "s"), (6, c, "s"), (7, c, "s"), (None, d, "t"), (None, d, "s"), (8, None, "s"), (8, None, "s"), (None, "", "s"), (None, None, "s")]
+    kept = minhash.drop_near_rows(docs(spark, rows).withColumn("of", F.lit(1)).withColumn("id", F.lit(2)))
+    assert Counter((r.doc_id, r.text, r.source) for r in kept.collect()) == Counter([(5, a, "s"), (6, b, "s"), (6, c, "s"), (None, d, "s"), (8, None, "s"), (8, None, "s"), (None, "", "s"), (None, None, "s")])
+    rows = near_fixture()
+    got = brute_groups(rows)
+    assert sorted(r.doc_id for r in minhash.drop_near_rows(docs(spark, rows)).collect()) == sorted(i for i, *_ in rows if got.get(i, i) == i)
+    assert minhash.drop_near_rows(awkward(spark)).columns == awkward(spark).columns and minhash.drop_near_rows(empty(spark)).count() == 0
+
+
 # 5 URL filter.
 
 
@@ -493,6 +508,15 @@ def test_contamination_awkward(spark):
     assert decontam.contamination(df, bench.limit(0)).count() == 0 and decontam.contamination(empty(spark), bench).count() == 0
 
 
+@pytest.mark.parametrize("small", [10**9, -1])
+def test_contaminated_rows(spark, small):
+    item = "the quick brown fox jumps over the lazy dog tonight"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "so " + item, "s"), (None, "clean text", "s"), (3, item.upper(), "s"), (3, "another clean text", "s"), (4, None, "s"), (None, None, "s"), (None, "so " + item, "s")]
+    kept = decontam.drop_contaminated_rows(docs(spark, rows), bench, small_words=small)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, "clean text"), (3, "another clean text"), (4, None), (None, None)])
+
+
 # 9 and 10 Tokens.
 
 

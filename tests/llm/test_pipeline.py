@@ -69,6 +69,14 @@ def test_pipeline_is_the_brute_force_one(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == len(want)
 
 
+def test_stages_decide_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").orderBy("item_id").first().text
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, text), (None, text), (1, text), (1, text), (None, item), (2, item), (2, "a clean text of the same id")], "doc_id long, text string")
+    left = corpus_pipeline.decontamination(spark, corpus_pipeline.near_duplicates(spark, docs, SF), SF)
+    assert Counter(tuple(r) for r in left.collect()) == Counter([(1, text), (2, "a clean text of the same id")])
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
@@ -93,8 +93,9 @@ def need(df: DataFrame, *columns: str) -> None:
 SMALL_IDS = 500_000
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``gone(gone)``; null ids stay, all columns as they were."""
+def without_ids(docs: DataFrame, gone: DataFrame, by: str | Column = "row.doc_id") -> DataFrame:
+    """The rows of ``docs`` whose doc_id (or ``by``, of the struct ``row``) isn't in ``gone(gone)``; nulls stay, all columns as they were."""
+    by = F.col(by) if isinstance(by, str) else by
     gone = written(gone.distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= SMALL_IDS else gone
-    return unpacked(packed(docs).join(side, F.col("row.doc_id") == F.col("gone"), "left_anti"))
+    return unpacked(packed(docs).join(side, by == F.col("gone"), "left_anti"))

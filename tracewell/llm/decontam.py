@@ -204,6 +204,16 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame
     return without_ids(docs, contamination(docs, benchmark, **how).select(F.col("doc_id").alias("gone")))
 
 
+def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """drop_contaminated() by row: each row is decided by its own text, whatever its doc_id, a null one included. Rows with a null text stay."""
+
+    def key(text: str) -> F.Column:
+        return F.unhex(F.sha2(text, 256))
+
+    found = contamination(docs.select(key("text").alias("doc_id"), "text"), benchmark, **how)
+    return without_ids(docs, found.select(F.col("doc_id").alias("gone")), key("row.text"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and how much of it the tiles cover."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewell.llm.common import need, table, without_ids, written
+from tracewell.llm.common import SMALL_IDS, need, packed, table, unpacked, without_ids, written
 from tracewell.llm.graph import components
 from tracewell.llm.textvec import grams, mix, raw, slices, words
 
@@ -69,8 +70,8 @@ def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
     return (x != y).sum(axis=1)
 
 
-def signature_table(docs: DataFrame) -> DataFrame:
-    """(id, sig) of all rows with an id and at least one word."""
+def signature_table(docs: DataFrame, null_ids: bool = False) -> DataFrame:
+    """(id, sig) of all rows with an id (or, if ``null_ids``, without one, too) and at least one word."""
 
     def sign(batches):
         for batch in batches:
@@ -79,7 +80,8 @@ def signature_table(docs: DataFrame) -> DataFrame:
                 if len(have):
                     yield pa.record_batch([batch.column(0).take(pa.array(have + at)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(sign, "id long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text IS NOT NULL")
+    return (rows if null_ids else rows.where("id IS NOT NULL")).mapInArrow(sign, "id long, sig binary")
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -167,7 +169,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     same = written(same, "nodes")
     equal = same.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     nodes = same.where("n = 1").select("id", "sig")
+    labels = _linked(nodes, equal)
+    return labels.join(labels.groupBy("label").count().where("count > 1"), "label", "left_semi").select(F.col("node").alias("doc_id"), F.col("label").alias("group_id"))
+
 
+def _linked(nodes: DataFrame, equal: DataFrame) -> DataFrame:
+    """(node, label) of the components of nodes(id, sig), each signature once, by near pairs and the edges equal(a, b)."""
     keyed = _keyed(nodes)
     star = keyed.select("id", F.min("id").over(Window.partitionBy("key")).alias("center")).where("id <> center").distinct()
     lookup = nodes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
@@ -184,7 +191,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     more = written(crossing.distinct(), "crossing")
     if not more.isEmpty():
         labels = written(components(edges.union(more)), "labels")
-    return labels.join(labels.groupBy("label").count().where("count > 1"), "label", "left_semi").select(F.col("node").alias("doc_id"), F.col("label").alias("group_id"))
+    return labels
 
 
 def near_pairs(docs: DataFrame) -> DataFrame:
@@ -200,6 +207,48 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return without_ids(docs, near_pairs(docs).select(F.col("doc_id").alias("gone")))
 
 
+@F.arrow_udf(T.BinaryType())
+def _signature(texts: pa.Array) -> pa.Array:
+    out = []
+    for _, part in slices(texts):
+        have, sig = signatures(*raw(part))
+        own = dict(zip(have.tolist(), sig))
+        out.extend(own[i].tobytes() if i in own else None for i in range(len(part)))
+    return pa.array(out, pa.binary())
+
+
+def drop_near_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies, by row: of each group of near rows one stays; all columns as they were.
+
+    Every row with a word is compared by its own text, also rows with a null doc_id, repeated rows and further texts of
+    one doc_id. Groups are those of near_groups(), of signatures instead of ids. The row with the smallest doc_id stays,
+    null ids last; of several such rows, the first by signature, then by all columns. Rows with a null text or no word stay.
+    """
+    need(docs, "doc_id", "text")
+    signed = written(signature_table(docs, null_ids=True).groupBy("id", "sig").agg(F.count("*").alias("copies")), "signatures")
+    nodes = written(signed.select("sig").distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
+    labels = _linked(nodes, nodes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b")))
+    member = nodes.join(labels, F.col("id") == F.col("node"), "left").select("sig", F.coalesce("label", "id").alias("label"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.col("id").isNull(), "id", "sig"))
+    mark = F.when(F.col("sig").isNotNull(), F.xxhash64("sig"))
+    ranked = signed.join(member, "sig").select("id", mark.alias("mark"), "copies", nth.alias("n"))
+    decided = written(ranked.where("n > 1 OR copies > 1").select("id", F.col("mark").alias("its"), (F.col("n") == 1).alias("stays")), "decided")
+
+    # A row is found again by its id and a hash of its signature.
+    rows = packed(docs).withColumn("of", F.col("row.doc_id").cast("long")).withColumn("sig", _signature("row.text")).select("row", "of", mark.alias("mark"))
+    small = decided.count() <= SMALL_IDS
+
+    def beside(found: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(found) if small else found, F.col("of").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its")), how)
+
+    kept = beside(decided, "left_anti").select("row")
+    repeated = decided.where("stays")
+    if not repeated.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("of", "mark").orderBy(F.to_json("row")))
+        kept = kept.union(beside(repeated, "inner").withColumn("nth", nth).where("nth = 1").select("row"))
+    return unpacked(kept)
+
+
 def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every near copy in documents, with the document of its group that stays."""
     return near_pairs(table(spark, sf_dir, "documents"))
