@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.storage import cut
+from tracewell.storage import cut, grown
 
 MAX_DEPTH = 60
 
@@ -31,39 +31,27 @@ class Selector:
         return cls(m[2].lower(), m[3].lower() if m[3] else None, up or not down, down or not up)
 
 
-_CLOSURE = """
-WITH RECURSIVE walk (root_model, root_column, model, column, depth) AS (
-  SELECT DISTINCT {root}_model, {root}_column, {to}_model, {to}_column, 1 FROM {{edges}}
-  UNION ALL
-  SELECT w.root_model, w.root_column, e.{to}_model, e.{to}_column, w.depth + 1
-  FROM walk w JOIN {{edges}} e ON e.{root}_model = w.model AND e.{root}_column = w.column
-  WHERE w.depth < {depth}
-)
-SELECT root_model, root_column, model, column, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root_model, root_column, model, column
-"""
-
-
-def closure(edges: DataFrame, up: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(edges: DataFrame, up: bool = True, max_depth: int | None = None) -> DataFrame:
     """(root_model, root_column, model, column, depth) of everything that each column comes from (``up``) or feeds; depth is the shortest way.
 
-    One recursive query for all columns at once. It walks paths, so it is for graphs without cycles and few diamonds; closure_by_joins() is for others.
+    All columns at once, to any depth unless ``max_depth`` is given; see closure_by_joins().
     """
-    root, to = ("child", "parent") if up else ("parent", "child")
-    return edges.sparkSession.sql(_CLOSURE.format(root=root, to=to, depth=max_depth), edges=edges)
+    return closure_by_joins(edges, up, max_depth)
 
 
-def closure_by_joins(edges: DataFrame, up: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """closure() level by level, each pair reached once: for large, cyclic or diamond-rich graphs. Each level is checkpointed."""
+def closure_by_joins(edges: DataFrame, up: bool = True, max_depth: int | None = None) -> DataFrame:
+    """closure() level by level until a level reaches nothing new, each pair reached once: large, cyclic and diamond-rich graphs, too. Each level is checkpointed."""
     root, to = ("child", "parent") if up else ("parent", "child")
     step = edges.select(F.col(f"{root}_model").alias("m"), F.col(f"{root}_column").alias("c"), F.col(f"{to}_model").alias("model"), F.col(f"{to}_column").alias("column")).distinct()
     seen = cut(step.select(F.col("m").alias("root_model"), F.col("c").alias("root_column"), "model", "column", F.lit(1).alias("depth")))
-    frontier, keys = seen, ["root_model", "root_column", "model", "column"]
-    for depth in range(2, max_depth + 1):
+    frontier, keys, depth = seen, ["root_model", "root_column", "model", "column"], 1
+    while max_depth is None or depth < max_depth:
+        depth += 1
         nxt = frontier.select("root_model", "root_column", F.col("model").alias("m"), F.col("column").alias("c")).join(step, ["m", "c"]).select(*keys).distinct()
         frontier = cut(nxt.join(seen, keys, "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = grown(seen, frontier, depth)
     return seen
 
 
@@ -139,32 +127,38 @@ def soft_failures(rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return again.unionByName(deep)
 
 
-_DEPTH = """
-WITH RECURSIVE d (unique_id, depth) AS (
-  SELECT unique_id, 0 FROM {nodes}
-  UNION ALL
-  SELECT e.child_uid, d.depth + 1 FROM d JOIN {edges} e ON e.parent_uid = d.unique_id WHERE d.depth < MAXDEPTH
-)
-SELECT unique_id, CAST(max(depth) AS INT) AS depth FROM d GROUP BY unique_id
-"""
-
-
 def node_edges(nodes: DataFrame) -> DataFrame:
     """(parent_uid, child_uid) between nodes of the project, self references left out."""
     e = nodes.select(F.col("unique_id").alias("child_uid"), F.explode("depends_on").alias("parent_uid")).where("child_uid <> parent_uid")
     return e.join(nodes.select(F.col("unique_id").alias("parent_uid")), "parent_uid", "left_semi").distinct().select("parent_uid", "child_uid")
 
 
-def depths(nodes: DataFrame, edges: DataFrame, max_depth: int = 98) -> DataFrame:
+def _peeled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((unique_id, depth) of the nodes that aren't on or behind a cycle, unique_id of those that are).
+
+    Level by level, each checkpointed: nodes none of whose parents is left have the level as their longest way.
+    """
+    left, step = cut(nodes.select("unique_id").distinct()), cut(edges.select(F.col("parent_uid").alias("unique_id"), "child_uid").distinct())
+    found, depth = left.where("false").withColumn("depth", F.lit(0)), 0
+    while True:
+        blocked = step.join(left, "unique_id", "left_semi").select(F.col("child_uid").alias("unique_id"))
+        ready = cut(left.join(blocked, "unique_id", "left_anti"))
+        if ready.isEmpty():
+            return found, left
+        left, depth = cut(left.join(ready, "unique_id", "left_anti")), depth + 1
+        found = grown(found, ready.withColumn("depth", F.lit(depth - 1)), depth)
+
+
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(unique_id, depth): the longest way from a node without parents. Nodes on or behind a cycle get 0."""
-    found = nodes.sparkSession.sql(_DEPTH.replace("MAXDEPTH", str(max_depth)), nodes=nodes.select("unique_id"), edges=edges)
-    return found.withColumn("depth", F.when(F.col("depth") >= max_depth, 0).otherwise(F.col("depth")).cast("int"))
+    found, cyclic = _peeled(nodes, edges)
+    return found.union(cyclic.withColumn("depth", F.lit(0)))
 
 
-def topological(nodes: DataFrame, edges: DataFrame, max_depth: int = 98) -> DataFrame:
+def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with their depth in an order where parents come first; a cycle is an error."""
-    d = nodes.sparkSession.sql(_DEPTH.replace("MAXDEPTH", str(max_depth)), nodes=nodes.select("unique_id"), edges=edges)
-    if not d.where(f"depth >= {max_depth}").isEmpty():
+    d, cyclic = _peeled(nodes, edges)
+    if not cyclic.isEmpty():
         raise ValueError("the graph has a cycle")
     return nodes.join(d, "unique_id").orderBy("depth", "ord")
 

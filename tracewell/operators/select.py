@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.storage import cut, grown
+
 KINDS = ("model", "source", "seed")
 
 
@@ -105,5 +107,15 @@ def _atom(nodes: DataFrame, edges: DataFrame, atom: str) -> DataFrame:
 
 
 def _reach(ids: DataFrame, edges: DataFrame, at: str, to: str, steps: int | None) -> DataFrame:
-    sql = f"WITH RECURSIVE r (unique_id, n) AS (SELECT unique_id, 0 FROM {{ids}} UNION ALL SELECT e.{to}, r.n + 1 FROM r JOIN {{edges}} e ON e.{at} = r.unique_id WHERE r.n < {98 if steps is None else steps}) SELECT DISTINCT unique_id FROM r"
-    return ids.sparkSession.sql(sql, ids=ids.distinct(), edges=edges)
+    """``ids`` and what they reach within ``steps``, or at all: level by level until a level reaches nothing new."""
+    step = edges.select(F.col(at).alias("unique_id"), F.col(to).alias("next"))
+    seen = frontier = cut(ids.distinct())
+    done = 0
+    while steps is None or done < steps:
+        nxt = frontier.join(step, "unique_id").select(F.col("next").alias("unique_id")).distinct()
+        frontier = cut(nxt.join(seen, "unique_id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        done += 1
+        seen = grown(seen, frontier, done)
+    return seen

@@ -7,6 +7,12 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def grown(seen: DataFrame, more: DataFrame, level: int) -> DataFrame:
+    """``seen`` and ``more``; written anew on every 16th level, so the parts of a long walk stay few."""
+    both = seen.unionByName(more)
+    return cut(both.coalesce(both.sparkSession.sparkContext.defaultParallelism)) if level % 16 == 0 else both
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder of ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
     sc = df.sparkSession.sparkContext
