@@ -229,6 +229,16 @@ def test_mixing_matches_brute_force(spark, weights, percent):
     assert Counter((r.doc_id, r.source) for r in kept.collect()) == Counter((i, s) for i, s, _, _ in got.elements())
 
 
+def test_mixing_caps_a_hot_source(spark):
+    # Half of all tokens in one source of 21: the largest level caps it, and the target share isn't reached.
+    rows = [(i, "x", "hot") for i in range(420)] + [(1000 + i, "x", f"s{i % 20}") for i in range(420)]
+    got = mixing.mixed(docs(spark, rows)).groupBy("source").agg(F.sum("tokens").alias("n"), F.sum(F.when(F.col("level") == 1, F.col("tokens"))).alias("low")).collect()
+    share = {r.source: r.n / sum(x.n for x in got) for r in got}
+    assert len(share) == 21 and round(share.pop("hot"), 3) == 0.087 and {round(v, 3) for v in share.values()} == {0.046}
+    # Every source fills its part of the 25 % level, so the weights are met there.
+    assert {r.low for r in got} == {10}
+
+
 def test_mixing_awkward(spark):
     df = awkward(spark)
     assert mixing.keep_mixed(df).columns == df.columns
