@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -13,6 +14,9 @@ import pyarrow as pa
 DEFAULT_VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: Split pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern knows it, in runs that its lookahead would need too deep a stack for.
+LONG_RUN = 50_000
+_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_RUN)
 
 _loaded: dict[str, "Bpe"] = {}
 
@@ -31,12 +35,28 @@ class Bpe:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all texts in a row, first token of each text and the end). A null counts as empty."""
-        encode = self.encoding.encode_ordinary
-        lists = [encode(t) if t else [] for t in texts.to_pylist()]
+        lists = [self.ids(t) if t else [] for t in texts.to_pylist()]
         off = np.zeros(len(lists) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)), out=off[1:])
         return np.fromiter(chain.from_iterable(lists), np.int32, int(off[-1])), off
 
+    def ids(self, text: str) -> list[int]:
+        """Ids of one text of any length.
+
+        The pattern takes a run of white space before other text as one piece but for its last character, and a run at
+        the end whole. Long runs are cut out just there and encoded as the piece they are, so the ids are the plain encoder's.
+        """
+        encode = self.encoding.encode_ordinary
+        if len(text) < LONG_RUN:
+            return encode(text)
+        out, at = [], 0
+        for run in _RUN.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            out += encode(text[at : run.start()])
+            out += self.encoding._core_bpe.encode_single_piece(text[run.start() : stop].encode())
+            at = stop
+        return out + encode(text[at:])
+
     def decode(self, ids) -> str:
         return self.encoding.decode(list(ids))
 
