@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,14 +17,16 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, from ``spark.checkpoint.dir``.
+    """Folder that every executor can reach: ``spark.checkpoint.dir``, else the one given to setCheckpointDir().
 
-    Only where the session names none (tests, a laptop) a folder of our own is made.
+    Only a local session (tests, a laptop) that names none gets a folder of our own; on a cluster that's an error.
     """
     global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tracewell-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -89,6 +92,29 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+#: A key with more rows than this is hot. There are at most rows / HOT_ROWS such keys, few enough to send to all workers.
+HOT_ROWS = 200_000
+
+
+def beside(rows: DataFrame, side: DataFrame, key: str, rows_of_key: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has each value of ``key`` once, without gathering the rows of a hot key in one task.
+
+    ``rows_of_key`` says, in terms of ``side``, how many rows a key has. Hot keys are joined where their rows lie; the
+    others by a shuffle. ``how`` is inner or left; rows with a null key match nothing and aren't shuffled.
+    """
+    hot = side.where(rows_of_key > HOT_ROWS)
+    known = rows.where(F.col(key).isNotNull())
+    if hot.isEmpty():
+        out = known.join(side, key, how)
+    else:
+        cold = known.join(F.broadcast(hot.select(key)), key, "left_anti")
+        out = known.join(F.broadcast(hot), key).unionByName(cold.join(side.where(~(rows_of_key > HOT_ROWS)), key, how))
+    if how == "inner":
+        return out
+    none = rows.where(F.col(key).isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in side.schema if f.name != key})
+    return out.unionByName(none)
+
+
 #: Ids up to this many are sent to all workers; more are joined by a shuffle.
 SMALL_IDS = 500_000
 

@@ -6,133 +6,36 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import need, new_path, open_fs, packed, table, unpacked, written
-from tracewell.llm.textvec import mix
+from tracewell.llm import bloom
+from tracewell.llm.common import need, packed, table, unpacked, written
 
 #: Bits a key and probes of both filters: 12 bits and 3 probes let about 1 in 90 new keys pass as seen.
 BITS_PER_KEY, PROBES = 12, 3
-#: Keys in a shard of the first pass; its filter (1.5 MB) lies in one task's memory.
+#: Keys in a shard of the first pass; its filter (4 MB) lies in one task's memory.
 SHARD_KEYS = 1_000_000
-#: Largest filter of the second pass that each worker loads. Beyond it every row is shuffled by its hash.
-MOST_BYTES = 2 << 30
-
-
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions of each hash, one row for each probe; ``bits`` is a power of two."""
-    a, b = mix(h), mix(h ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) >> np.uint64(64 - int(bits).bit_length() + 1) for i in range(PROBES)]).astype(np.int64)
-
-
-def _bits_for(keys: int) -> int:
-    return 1 << max(10, math.ceil(math.log2(max(1, keys) * BITS_PER_KEY)))
-
-
-class Bloom:
-    def __init__(self, bits: int, words: np.ndarray | None = None):
-        self.bits, self.words = bits, np.zeros(bits >> 6, np.uint64) if words is None else words
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        at = _positions(h, self.bits)
-        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
-
-    def add(self, h: np.ndarray) -> None:
-        at = _positions(h, self.bits).ravel()
-        np.bitwise_or.at(self.words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-
-    def seen(self, h: np.ndarray) -> np.ndarray:
-        """Which of the hashes the filter may have had, or an earlier place of ``h`` has; then all are added."""
-        order = np.argsort(h, kind="stable")
-        again = np.zeros(len(h), bool)
-        again[order[1:]] = h[order[1:]] == h[order[:-1]]
-        out = self.has(h) | again
-        self.add(h[~out])
-        return out
 
 
 def possibly_repeated(hashes: DataFrame, shards: int) -> DataFrame:
     """First pass: hashes that their shard's Bloom filter had already let in when they came, so every one that occurs
-    twice, and a few others. Eight bytes a row are shuffled, none of its text."""
+    twice, and a few others. Eight bytes a row are shuffled, none of its text, and of a hash that fills a batch only two."""
+
+    def thin(batches):
+        for batch in batches:
+            h, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            yield pa.record_batch([pa.array(np.repeat(h, np.minimum(n, 2)))], names=["h"])
 
     def find(batches):
-        bloom = Bloom(_bits_for(2 * SHARD_KEYS))
+        seen = bloom.Bloom(bloom.bits_for(2 * SHARD_KEYS, BITS_PER_KEY), PROBES)
         for batch in batches:
             h = batch.column(0).to_numpy().view(np.uint64)
-            hit = np.unique(h[bloom.seen(h)])
+            hit = np.unique(h[seen.seen(h)])
             if len(hit):
                 yield pa.record_batch([pa.array(hit.view(np.int64))], names=["h"])
 
-    return hashes.repartition(shards, "h").mapInArrow(find, "h long").distinct()
-
-
-def repeat_filter(spark: SparkSession, repeated: DataFrame, keys: int) -> tuple[str, int] | None:
-    """Write the second filter, of the possibly repeated hashes only, to the shared folder: (path, bits). None where it'd be larger than MOST_BYTES.
-
-    Tasks fill disjoint parts: a part holds the hashes with the same leading bits, so nothing is gathered on the driver.
-    """
-    bits = _bits_for(keys)
-    if bits // 8 > MOST_BYTES:
-        return None
-    path = new_path(spark, "bloom")
-    parts = max(1, bits >> 26)
-    part_bits = bits // parts
-    shift = 64 - (parts - 1).bit_length()
-
-    def fill(batches):
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            part = (h >> np.uint64(shift)).astype(np.int64) if parts > 1 else np.zeros(len(h), np.int64)
-            at = _positions(h, part_bits)
-            yield pa.record_batch([pa.array(np.tile(part, PROBES)), pa.array((at >> 6).ravel()), pa.array((at & 63).ravel())], names=["part", "word", "bit"])
-
-    words = repeated.mapInArrow(fill, "part long, word long, bit long").groupBy("part", "word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("v"))
-
-    def save(batches):
-        filters: dict[int, np.ndarray] = {}
-        for batch in batches:
-            part, word, v = (batch.column(i).to_numpy() for i in range(3))
-            for p in np.unique(part).tolist():
-                own = filters.setdefault(p, np.zeros(part_bits >> 6, np.int64))
-                own[word[part == p]] = v[part == p]
-        for p, own in filters.items():
-            yield pa.record_batch([pa.array([p]), pa.array([own.tobytes()], pa.binary())], names=["part", "words"])
-
-    words.repartition(parts, "part").mapInArrow(save, "part long, words binary").write.parquet(path)
-    return path, bits
-
-
-_held: dict[str, tuple[np.ndarray, int, int, int]] = {}
-
-
-def _held_filter(path: str, bits: int) -> tuple[np.ndarray, int, int, int]:
-    """The filter's words, read once by each worker process."""
-    if path not in _held:
-        import pyarrow.parquet as pq
-
-        parts = max(1, bits >> 26)
-        words = np.zeros(bits >> 6, np.uint64)
-        size = len(words) // parts
-        fs, local = open_fs(path)
-        rows = pq.read_table(local, filesystem=fs)
-        for part, own in zip(rows["part"].to_pylist(), rows["words"].to_pylist()):
-            words[part * size : (part + 1) * size] = np.frombuffer(own, np.uint64)
-        _held.clear()
-        _held[path] = words, parts, size, 64 - (parts - 1).bit_length()
-    return _held[path]
-
-
-def _may_repeat(h: Column, path: str, bits: int) -> Column:
-    @F.arrow_udf("boolean")
-    def probe(values: pa.Array) -> pa.Array:
-        words, parts, size, shift = _held_filter(path, bits)
-        h = values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        at = _positions(h, bits // parts)
-        part = (h >> np.uint64(shift)).astype(np.int64) if parts > 1 else np.zeros(len(h), np.int64)
-        return pa.array(((words[(at >> 6) + part * size] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0))
-
-    return probe(h)
+    return hashes.mapInArrow(thin, "h long").repartition(shards, "h").mapInArrow(find, "h long").distinct()
 
 
 def distinct_texts(docs: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame:
@@ -140,7 +43,8 @@ def distinct_texts(docs: DataFrame, text: str = "text", by: str = "doc_id") -> D
 
     Pass one finds the hashes of texts that may occur twice. Pass two reads the table once more: a row whose hash isn't
     in their filter goes straight through; only the others are shuffled, by hash and compared as whole texts, so a
-    collision of hashes or a false positive never drops a row.
+    collision of hashes or a false positive never drops a row. Each task first drops all but one copy of a text among its own
+    rows, so of a text with any number of copies no more rows are shuffled than there are tasks.
 
     Rows with a null text stay, all of them. The empty text is a text. Of rows alike in text and ``by`` (repeated rows)
     one stays; a null ``by`` comes after all others. An empty table stays empty.
@@ -150,15 +54,15 @@ def distinct_texts(docs: DataFrame, text: str = "text", by: str = "doc_id") -> D
     hashes = written(docs.where(F.col(f"`{text}`").isNotNull()).select(F.xxhash64(F.col(f"`{text}`")).alias("h")), "hashes")
     n = hashes.count()
     repeated = written(possibly_repeated(hashes, max(1, math.ceil(n / SHARD_KEYS))), "repeated")
-    bloom = repeat_filter(spark, repeated, repeated.count())
+    filter_ = bloom.write(repeated, repeated.count(), BITS_PER_KEY, PROBES)
 
     rows = packed(docs)
     value, order = F.col(f"row.`{text}`"), F.col(f"row.`{by}`")
     h = F.xxhash64(value)
-    hit = F.lit(True) if bloom is None else _may_repeat(h, *bloom)
-    marked = rows.withColumn("hit", F.when(value.isNull(), F.lit(False)).otherwise(hit))
+    marked = rows.withColumn("hit", F.when(value.isNull(), F.lit(False)).otherwise(filter_.probe(h)))
     straight = marked.where(~F.col("hit")).select("row")
     again = marked.where("hit").withColumn("h", h)
+    # A window that keeps first rows only has a limit of its own before the shuffle.
     first = F.row_number().over(Window.partitionBy("h", value).orderBy(order.asc_nulls_last()))
     return unpacked(straight.union(again.withColumn("n", first).where("n = 1").select("row")))
 
