@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, common, decontam, exact_dedup, graph, minhash, mixing, quality, token_counts, token_output, url_filter, warc
+from tracewell.llm import bloom, bpe, chat, common, decontam, exact_dedup, graph, minhash, mixing, quality, textvec, token_counts, token_output, url_filter, warc
 from tracewell.llm.textvec import grams, raw, slices, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -50,16 +50,45 @@ def rows_of(df):
 # Shared parts.
 
 
-def test_words_match_a_regular_expression():
-    texts = ["Hello, World! x", "", "É été Größe\nfoo—bar baz", "a" * 9000 + " b", "1 2 3", "  ", "tail"]
-    h, first, start, end = words(*raw(pa.array(texts)))
-    data = "".join(texts).encode()
-    found = [data[s:e].decode() for s, e in zip(start, end)]
-    assert found == [w for t in texts for w in re.findall(r"[0-9A-Za-z\u0080-\u009f¡-῿⁀-\U0010ffff]+", t)]
-    again = words(*raw(pa.array([t.lower() for t in texts])))[0]
-    assert (h == again).all()
-    assert len(set(h.tolist())) == len({w.lower() for w in found})
-    assert first.tolist() == [0, 3, 3, 9, 11, 14, 14, 15]
+def brute_words(text):
+    """Words of any script, character by character."""
+    import unicodedata
+
+    out, now = [], ""
+    for c in text:
+        word = ord(c) >= 0x20000 or unicodedata.category(c)[0] in "LNM"
+        alone = word and (ord(c) >= 0x20000 or any(a <= ord(c) <= b for a, b in textvec.ALONE))
+        if word and not alone:
+            now += c.lower() if len(c.lower()) == 1 else c
+            continue
+        out += [now] * bool(now) + [c] * alone
+        now = ""
+    return out + [now] * bool(now)
+
+
+@pytest.mark.parametrize("most", [textvec.MOST, 64, 17])
+def test_words_of_all_scripts(monkeypatch, most):
+    monkeypatch.setattr(textvec, "MOST", most)
+    rng = random.Random(3)
+    parts = ["a", "B", "z", "9", " ", "\n", "!", "é", "É", "ß", "—", "“", "¿", "«", "Ж", "ж", "中", "文", "。", "か", "カ", "ー", "ก", "า", "่", "가", "İ", "ẞ", "𠀀", "😀", "Ω", "_", " ", "Hello", "größe"]
+    known = {}
+    for _ in range(300):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(rng.randrange(1, 6))]
+        h, first, start, end = words(*raw(pa.array(texts)))
+        want = [brute_words(t) for t in texts]
+        assert np.diff(first).tolist() == list(map(len, want))
+        data = "".join(texts).encode()
+        assert [brute_words(data[s:e].decode()) for s, e in zip(start, end)] == [[w] for ws in want for w in ws]
+        for w, x in zip([w for ws in want for w in ws], h.tolist()):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+
+
+def test_a_long_word_is_one_word(monkeypatch):
+    monkeypatch.setattr(textvec, "MOST", 100)
+    assert len(words(*raw(pa.array(["a" * 9000 + " b", "é" * 9000])))[0]) == 3
+    one, two = (words(*raw(pa.array([t])))[0] for t in ("x" * 5000, "x" * 4999 + "y"))
+    assert len(one) == len(two) == 1 and one[0] != two[0]
 
 
 def test_slices_cover_everything_and_nulls_are_empty():
@@ -117,13 +146,67 @@ def test_warc_round_trip_and_revisits(spark, tmp_path):
             assert f.read(r.length)[:2] == b"\x1f\x8b"
 
 
-def test_warc_duplicates_by_shuffle_and_empty(spark, tmp_path, monkeypatch):
-    pages = spark.createDataFrame([(1, "u1", "same"), (2, "u2", "same"), (3, None, None), (None, "u4", "x"), (5, "u5", "same")], "page_id long, url string, html string")
-    one = rows_of(warc.write_deduplicated(warc.captures_of_pages(pages), str(tmp_path / "a")).drop("file", "offset", "length"))
-    monkeypatch.setattr(warc, "SMALL_ROWS", -1)
-    assert rows_of(warc.write_deduplicated(warc.captures_of_pages(pages), str(tmp_path / "b")).drop("file", "offset", "length")) == one
-    assert sum(k.count("'duplicate'") * n for k, n in one.items()) == 2
-    assert warc.write_deduplicated(warc.captures_of_pages(pages.limit(0)), str(tmp_path / "c")).count() == 0
+def brute_captures(pages):
+    """Index rows and whole payloads of the crawls of pages, record by record."""
+    import hashlib
+
+    rows, sha = [], lambda b: "sha256:" + hashlib.sha256(b.encode()).hexdigest()
+    for p, url, html in pages:
+        body, name = html or "", "" if p is None else str(p)
+        rows.append((f"{name}/1", "response", url, "2024-01-01T00:00:00Z", sha(body), body))
+        if p is not None and p % 5 == 0:
+            rows.append((f"{name}/2", "response", url, "2024-02-01T00:00:00Z", sha(body + "\n<!-- changed -->"), body + "\n<!-- changed -->"))
+        else:
+            rows.append((f"{name}/2", "revisit", url, "2024-02-01T00:00:00Z", sha(f"lost {name}") if p is not None and p % 7 == 0 else sha(body), None))
+        if p is not None and p % 3 == 0:
+            rows.append((f"{name}/1", "response", url, "2024-03-01T00:00:00Z", sha(body), body))
+    first = {}
+    for r in sorted((r for r in rows if r[1] == "response"), key=lambda r: (r[3], r[0], r[2] or "")):
+        first.setdefault(r[4], r)
+    index = Counter()
+    for r in rows:
+        own = first.get(r[4])
+        status = ("original" if r is own else "duplicate") if r[1] == "response" else "resolved" if own else "unresolved"
+        index[r[0], "response" if status == "original" else "revisit", status, r[2], r[3], r[4], None if status in ("original", "unresolved") else own[0]] += 1
+    return index, Counter(r[5].encode() for r in first.values())
+
+
+@pytest.mark.parametrize("hot,mistaken", [(common.HOT_ROWS, warc.MOST_MISTAKEN), (2, 10)])
+def test_warc_against_brute_force(spark, tmp_path, monkeypatch, hot, mistaken):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(warc, "MOST_MISTAKEN", mistaken)
+    if mistaken < 100:  # a filter that takes many originals for duplicates at first
+        monkeypatch.setattr(warc, "BITS_PER_KEY", 1)
+    rng = random.Random(13)
+    pages = [(i, f"http://u{i}", rng.choice(["same", "", None, f"own {i}", f"pair {i // 2}", "long " * 20000])) for i in range(1, 160)] + [(None, None, None), (None, None, "same")]
+    path = str(tmp_path / "a")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    index = warc.write_deduplicated(warc.captures_of_pages(df).repartition(5), path)
+    want, payloads = brute_captures(pages)
+    assert Counter((r.record_id, r.warc_type, r.status, r.target_uri, r.warc_date, r.payload_digest, r.refers_to) for r in index.collect()) == want
+    back = warc.read_archive(spark, glob.glob(path + "/*.gz")).collect()
+    assert Counter(bytes(r.payload) for r in back if r.warc_type == "response") == payloads
+    assert warc.write_deduplicated(warc.captures_of_pages(df.limit(0)), str(tmp_path / "c")).count() == 0
+
+
+def test_warc_plan_moves_no_payload(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", f"b{i % 9}") for i in range(60)], "page_id long, url string, html string")
+    plans = []
+    real = type(pages).mapInArrow
+
+    def spy(df, f, schema, *more):
+        if "payload" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, f, schema, *more)
+
+    monkeypatch.setattr(type(pages), "mapInArrow", spy)
+    pages.write.parquet(str(tmp_path / "p"))
+    warc.write_deduplicated(warc.captures_of_pages(spark.read.parquet(str(tmp_path / "p"))), str(tmp_path / "w"))
+    assert len(plans) == 1
+    # What an exchange of the written rows shuffles, or sends to all, are headers.
+    lines = plans[0].split("\n")
+    moved = [lines[k:] for k, line in enumerate(lines) if "Exchange" in line]
+    assert moved and not any("payload#" in block[0] or "html#" in block[1] for block in moved)
 
 
 def test_warc_decides_each_row(spark, tmp_path):
@@ -143,10 +226,10 @@ def test_warc_decides_each_row(spark, tmp_path):
         ("p", "u6", "response", "original", None), ("p", "u6", "revisit", "duplicate", "p"), ("p", "u6", "revisit", "duplicate", "p"), (None, None, "response", "original", None),
         ("p", "u6", "revisit", "resolved", "p"), ("p", "u6", "metadata", "other", None), ("p", "u6", "resource", "other", None),
     ])
-    for small in (warc.SMALL_ROWS, -1):
+    for hot in (common.HOT_ROWS, 1):
         with pytest.MonkeyPatch.context() as m:
-            m.setattr(warc, "SMALL_ROWS", small)
-            path = str(tmp_path / f"out{small}")
+            m.setattr(common, "HOT_ROWS", hot)
+            path = str(tmp_path / f"out{hot}")
             index = warc.write_deduplicated(records(spark, rows).withColumn("http_headers", F.lit("HTTP/1.1 200 OK\r\n\r\n")).repartition(3), path).collect()
         assert Counter((r.record_id, r.target_uri, r.warc_type, r.status, r.refers_to) for r in index) == want
         back = warc.read_archive(spark, glob.glob(path + "/*.gz")).collect()
@@ -156,12 +239,20 @@ def test_warc_decides_each_row(spark, tmp_path):
         assert len(set(made.values())) == 2 and [r.refers_to for r in back if r.warc_type == "revisit" and r.target_uri == "u1"] == [made["u1"]]
 
 
+def test_warc_headers(spark):
+    text = lambda *a: warc._record(*a)[0].decode()
+    for kind, want in (("response", "application/http; msgtype=response"), ("request", "application/http; msgtype=request"), ("warcinfo", "application/warc-fields"), ("metadata", "application/warc-fields"), ("resource", "application/octet-stream")):
+        assert f"Content-Type: {want}\r\n" in text("a", kind, "u", "d", "x", False, None, None, None, None, b"p")
+    revisit = text("a", "revisit", "u", None, "x", True, "o", None, None, None, None)
+    assert "WARC-Refers-To: " in revisit and "Refers-To-Date" not in revisit and "None" not in revisit and "WARC-Date: 1970-01-01T00:00:00Z" in revisit
+
+
 # 2 Exact dedup.
 
 
-@pytest.mark.parametrize("most", [2 << 30, 0])
-def test_exact_dedup(spark, monkeypatch, most):
-    monkeypatch.setattr(exact_dedup, "MOST_BYTES", most)
+@pytest.mark.parametrize("part_bits", [bloom.PART_BITS, 1 << 10])
+def test_exact_dedup(spark, monkeypatch, part_bits):
+    monkeypatch.setattr(bloom, "PART_BITS", part_bits)
     rng = random.Random(2)
     texts = [sentence(rng, 5) for _ in range(400)]
     rows = [(i, rng.choice(texts) if i % 3 else f"only {i}", "s") for i in range(900)] + [(5000, None, "s"), (5001, None, "s"), (5002, "", "s"), (5003, "", "s")]
@@ -185,15 +276,33 @@ def test_exact_dedup_awkward(spark):
 def test_bloom_filters_miss_nothing(spark):
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 5000, dtype=np.uint64)
-    b = exact_dedup.Bloom(exact_dedup._bits_for(10000))
+    b = bloom.Bloom(bloom.bits_for(10000, 12), 3)
     assert b.seen(h).sum() < 100 and b.seen(h).all()
-    assert exact_dedup.Bloom(1 << 16).seen(np.array([7, 7, 8], np.uint64)).tolist() == [False, True, False]
-    # A filter of several parts.
+    assert bloom.Bloom(1 << 16, 3).seen(np.array([7, 7, 8], np.uint64)).tolist() == [False, True, False]
+    # A filter of one part, of several parts, and of none.
     repeated = spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "h long")
-    path, bits = exact_dedup.repeat_filter(spark, repeated, 12_000_000)
-    assert bits > 1 << 26
-    assert repeated.where(exact_dedup._may_repeat(F.col("h"), path, bits)).count() == 5000
-    assert spark.range(5000).select(F.xxhash64("id").alias("h")).where(exact_dedup._may_repeat(F.col("h"), path, bits)).count() < 50
+    for part_bits in (bloom.PART_BITS, 1 << 12):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(bloom, "PART_BITS", part_bits)
+            made = bloom.write(repeated.repartition(3), 5000)
+        assert (made.parts > 4) == (part_bits < 1 << 20)
+        assert repeated.where(made.probe(F.col("h"))).count() == 5000
+        assert spark.range(5000).select(F.xxhash64("id").alias("h")).where(made.probe(F.col("h"))).count() < 150
+    none = bloom.write(repeated.limit(0), 0)
+    assert repeated.where(none.probe(F.col("h"))).count() == 0
+
+
+def test_hot_text_is_cut_before_the_shuffle(spark):
+    rows = [(i, "the same words" if i % 2 else f"own {i}", "s") for i in range(3000)]
+    df = docs(spark, rows).repartition(4)
+    got = exact_dedup.distinct_texts(df)
+    assert got.count() == 1501
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Exchange hashpartitioning" in plan[plan.index("WindowGroupLimit") : plan.rindex("WindowGroupLimit")]
+    # Of a hash that fills a batch two go on to the shards.
+    h = spark.range(20000).select(F.lit(5).cast("long").alias("h")).coalesce(1)
+    shuffled = exact_dedup.possibly_repeated(h, 3)
+    assert [r.h for r in shuffled.collect()] == [5]
 
 
 # 3 Mixing.
@@ -600,16 +709,48 @@ def test_batches_encode_as_single_texts():
     assert [ids[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == [coder.encoding.encode_ordinary(t or "") for t in texts]
 
 
+def test_long_white_space(monkeypatch):
+    coder = bpe.load()
+    for run in (" ", "\n", " \n\t\u3000"):
+        text = "a" + run * (5_000_000 // len(run)) + "x"
+        ids = coder.ids(text)
+        assert coder.decode(ids) == text and ids[0] == coder.ids("a")[0] and ids[-1] in (coder.ids("x")[0], coder.ids(" x")[0])
+    # The same cuts on runs that the plain encoder can do.
+    monkeypatch.setattr(bpe, "LONG_RUN", 1)
+    monkeypatch.setattr(bpe, "_RUN", re.compile(bpe._RUN.pattern.replace("50000", "2")))
+    rng = random.Random(14)
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", "\n", "\t", "\x85", "\u3000", "\x1c", "\u200b", "a", "b1", "!", "'s", "中", "é"]) * rng.choice([1, 1, 1, 2, 5]) for _ in range(rng.randrange(1, 12)))
+        assert coder.ids(text) == coder.encoding.encode_ordinary(text), repr(text)
+
+
+def test_tokens_of_long_white_space(spark):
+    df = docs(spark, [(1, "a" + " " * 1_000_000 + "x", "s"), (2, "b" + "\n" * 1_000_000 + "y\n", "s")])
+    out = {r.doc_id: r.n_tokens for r in token_output.tokenized_documents(spark, df).collect()}
+    assert out == {1: 1_000_001, 2: 500_004}
+    by = {r.doc_id: r.n for r in token_counts.section_counts(df).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert by == out
+
+
 # Shared folder.
 
 
 def test_shared_folder_is_the_sessions(tmp_path):
     class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
         class conf:
             get = staticmethod(lambda key, default: {"spark.checkpoint.dir": f"file://{tmp_path}/"}.get(key, default))
 
     assert common.shared_dir(Session) == f"file://{tmp_path}"
     assert common.new_path(Session, "x").startswith(f"file://{tmp_path}/x-")
+    Session.conf.get = staticmethod(lambda key, default: default)
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+    Session.sparkContext.getCheckpointDir = staticmethod(lambda: "hdfs://n/given")
+    assert common.shared_dir(Session) == "hdfs://n/given"
     assert common.local_path("file:///x/y") == common.local_path("/x/y") == "/x/y" and common.local_path("hdfs://n/x") is None
 
 

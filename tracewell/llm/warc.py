@@ -10,32 +10,42 @@ import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import need, new_path, open_fs, table, written
+from tracewell.llm import bloom
+from tracewell.llm.common import SMALL_IDS, beside, need, new_path, open_fs, table, written
 
 RECORD = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, http_headers string, payload binary"
 INDEX = "record_id string, warc_type string, status string, target_uri string, warc_date string, payload_digest string, refers_to string, block_length bigint, file string, offset bigint, length bigint"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Rows of duplicate responses up to this many are sent to all workers; more are joined by a shuffle.
-SMALL_ROWS = 200_000
+#: Bits and probes of the filter that tells rows whether they are duplicates: about 1 original in 100,000 is taken for one at first.
+BITS_PER_KEY, PROBES = 24, 8
+#: Originals that the filter takes for duplicates are sent to all workers; with more than so many, the filter gets more bits.
+MOST_MISTAKEN = 200_000
+#: Content types by record type.
+CONTENT = {"response": "application/http; msgtype=response", "revisit": "application/http; msgtype=response", "request": "application/http; msgtype=request", "warcinfo": "application/warc-fields", "metadata": "application/warc-fields", "": "application/octet-stream"}
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
+OWN = ("warc_date", "record_id", "target_uri")
+
+
 def originals(records: DataFrame) -> DataFrame:
-    """(payload_digest, refers_to, refers_uri, refers_date, responses, copies) of each digest that a response has.
+    """(payload_digest, refers_to, refers_uri, refers_date, responses, copies, seen) of each digest.
 
-    Only headers are shuffled, by payload digest. The original of a digest is its first response by (date, record_id,
-    target_uri), nulls first; refers_* are its headers, ``responses`` counts the digest's responses and ``copies`` those of them
-    that have just the original's headers. Null digests have no row.
+    Only headers are shuffled, by payload digest, and equal ones are counted before each shuffle. The original of a digest is
+    its first response by (date, record_id, target_uri), nulls first; refers_* are its headers, ``responses`` counts the
+    digest's responses, ``copies`` those of them that have just the original's headers, and ``seen`` responses and revisits.
+    A digest without a response has 0 responses. Null digests have no row.
     """
-    head = records.where("warc_type = 'response' AND payload_digest IS NOT NULL").select("payload_digest", "warc_date", "record_id", "target_uri")
-    # Shuffled once: both groupings are by the digest.
-    each = head.repartition("payload_digest").groupBy(*head.columns).agg(F.count("*").alias("copies"))
-    first = F.min(F.struct("warc_date", "record_id", "target_uri", "copies")).alias("first")
-    found = each.groupBy("payload_digest").agg(first, F.sum("copies").alias("responses"))
-    return found.select("payload_digest", F.col("first.record_id").alias("refers_to"), F.col("first.target_uri").alias("refers_uri"), F.col("first.warc_date").alias("refers_date"), "responses", F.col("first.copies").alias("copies"))
+    response = F.col("warc_type") == "response"
+    head = records.where("warc_type IN ('response', 'revisit') AND payload_digest IS NOT NULL")
+    # A revisit's own headers don't matter, so all of a digest are one group.
+    each = head.select("payload_digest", "warc_type", *[F.when(response, F.col(c)).alias(c) for c in OWN]).groupBy("payload_digest", "warc_type", *OWN).agg(F.count("*").alias("copies"))
+    first = F.min(F.when(response, F.struct(*OWN, "copies"))).alias("first")
+    found = each.groupBy("payload_digest").agg(first, F.sum(F.when(response, F.col("copies")).otherwise(0)).alias("responses"), F.sum("copies").alias("seen"))
+    return found.select("payload_digest", F.col("first.record_id").alias("refers_to"), F.col("first.target_uri").alias("refers_uri"), F.col("first.warc_date").alias("refers_date"), "responses", F.coalesce("first.copies", F.lit(0)).alias("copies"), "seen")
 
 
 def _urn(record_id: str | None, *headers: str | None) -> str:
@@ -56,12 +66,14 @@ def _record(record_id, kind, uri, date, digest, refers, refers_to, refers_uri, r
     if kind == "revisit":
         lines.append(f"WARC-Profile: {PROFILE}")
         if refers:
-            lines += [f"WARC-Refers-To: {_urn(refers_to, 'response', refers_date, refers_uri, digest)}", f"WARC-Refers-To-Date: {refers_date or '1970-01-01T00:00:00Z'}"]
+            lines.append(f"WARC-Refers-To: {_urn(refers_to, 'response', refers_date, refers_uri, digest)}")
+            if refers_date is not None:
+                lines.append(f"WARC-Refers-To-Date: {refers_date}")
             if refers_uri is not None:
                 lines.append("WARC-Refers-To-Target-URI: " + re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", refers_uri))
     if record_id is not None:
         lines.append(f"X-Source-Record-ID: {record_id}")
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    lines += [f"Content-Type: {CONTENT.get(kind, CONTENT[''])}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", len(block)
 
 
@@ -74,43 +86,71 @@ def write_deduplicated(records: DataFrame, path: str, level: int = 6) -> DataFra
     that have none (or a null digest), and "other" for further record types. Null record_ids stay null in the index; such
     records are records of their own, written with an id made of their headers, and a revisit of one has a null refers_to.
 
-    Payloads aren't shuffled: rows are written where they are read, next to what the headers' shuffle found for
-    them. Only where an original is repeated, headers and all, its rows are shuffled, and one of them (one with a payload,
-    if any) stays whole. Each file is written under a task attempt's own name and moved to its partition's name when whole,
-    so a task that runs again leaves one file. Null payloads and headers are empty. No records give no files and an empty index.
+    Payloads aren't shuffled. A row with a payload learns that it is a duplicate from a Bloom filter of all duplicates'
+    headers, mapped from the shared folder; the few originals that the filter takes for duplicates are found beforehand
+    among the headers and sent to all. Revisits are made from headers alone. Only of an original that is repeated, headers
+    and all, each task sends on one payload, and one stays, with the smallest http_headers that isn't null. Each file is written under a
+    task attempt's own name and moved to its partition's name when whole, so a task that runs again leaves one file. Null
+    payloads and headers are empty; a record without a date gets 1970, and a revisit doesn't state its original's date where
+    that has none. Payloads and headers of any length are written whole. No records give no files and an empty index.
     """
     need(records, *[c.split()[0] for c in RECORD.split(", ")])
     spark = records.sparkSession
     firsts = written(originals(records), "originals")
     refers = ["refers_to", "refers_uri", "refers_date"]
-
-    def sent(found: DataFrame) -> DataFrame:
-        found = found.withColumn("found", F.lit("response"))
-        return F.broadcast(found) if found.count() <= SMALL_ROWS else found
-
     columns = ["record_id", "target_uri", "warc_date", "payload_digest", "http_headers"]
-    whole = records.where("NOT warc_type <=> 'revisit'").select(*columns, "warc_type", "payload")
+    out = [*columns, "warc_type", "payload", "status", *refers]
+    null = F.lit(None).cast("binary").alias("payload")
     own = F.col("record_id").eqNullSafe(F.col("refers_to")) & F.col("target_uri").eqNullSafe(F.col("refers_uri")) & F.col("warc_date").eqNullSafe(F.col("refers_date"))
 
-    def of_digest(found: DataFrame, how: str) -> DataFrame:
-        """Rows beside the original of their digest; only responses have one."""
-        named = sent(found).withColumnRenamed("payload_digest", "digest")
-        return whole.join(named, (F.col("payload_digest") == F.col("digest")) & (F.col("warc_type") == F.col("found")), how)
-
-    def stated(rows: DataFrame, duplicate: F.Column) -> DataFrame:
-        rows = rows.withColumn("duplicate", duplicate)
-        status = F.when(F.col("duplicate"), "duplicate").when(F.col("warc_type") == "response", "original").otherwise("other").alias("status")
-        kind = F.when(F.col("duplicate"), "revisit").otherwise(F.coalesce("warc_type", F.lit("resource"))).alias("warc_type")
-        return rows.select(*columns, kind, F.when(~F.col("duplicate"), F.col("payload").cast("binary")).alias("payload"), status, *[F.when(F.col("duplicate"), F.col(c)).alias(c) for c in refers])
-
-    found = F.col("found").isNotNull()
-    full = stated(of_digest(firsts.where("responses > 1"), "left").where(~found | ~own | (F.col("copies") == 1)), found & ~own)
-    repeated = firsts.where("copies > 1")
-    if not repeated.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("payload_digest").orderBy(F.col("payload").isNull(), F.col("http_headers")))
-        full = full.unionByName(stated(of_digest(repeated, "inner").where(own).withColumn("nth", nth), F.col("nth") > 1))
-    again = records.where("warc_type = 'revisit'").select(*columns).join(firsts.select("payload_digest", *refers, F.lit("resolved").alias("status")), "payload_digest", "left")
-    again = again.select(*columns, F.lit("revisit").alias("warc_type"), F.lit(None).cast("binary").alias("payload"), F.coalesce("status", F.lit("unresolved")).alias("status"), *refers)
+    def mark(names=columns[:4]) -> F.Column:
+        """A hash of a response's headers, nulls apart from all texts."""
+        return F.xxhash64(*[x for c in names for x in (F.col(c).isNull(), F.col(c))])
+
+    # Headers of all responses that aren't the one original of their digest. Numbers are written, so they stay.
+    again = beside(records.where("warc_type = 'response' AND payload_digest IS NOT NULL").select(*columns), firsts.where("responses > 1"), "payload_digest", F.col("seen"))
+    again = written(again.where(~own | (F.col("copies") > 1)).select(*columns, *refers, own.alias("own"), mark().alias("h")).withColumn("n", F.monotonically_increasing_id()), "duplicates")
+    single = firsts.where("copies = 1").select(*[F.col(c).alias(f"its_{k}") for k, c in zip(columns[:4], ("refers_to", "refers_uri", "refers_date", "payload_digest"))])
+    bits, keys = BITS_PER_KEY, again.count()
+    while True:
+        filter_ = bloom.write(again.select("h"), keys, bits, PROBES)
+        mistaken = written(single.where(filter_.probe(mark([f"its_{c}" for c in columns[:4]]))), "mistaken")
+        if mistaken.count() <= MOST_MISTAKEN:
+            break
+        bits += 8
+
+    # Rows with payloads, where they are read.
+    whole = records.where("NOT warc_type <=> 'revisit'").select(*columns, F.coalesce("warc_type", F.lit("resource")).alias("warc_type"), F.col("payload").cast("binary").alias("payload"))
+    response = (F.col("warc_type") == "response") & F.col("payload_digest").isNotNull()
+    whole = whole.withColumn("gone", F.when(response, filter_.probe(mark())).otherwise(False))
+    if not mistaken.isEmpty():
+        same = F.lit(True)
+        for c in columns[:4]:
+            same = same & F.col(c).eqNullSafe(F.col(f"its_{c}"))
+        whole = whole.join(F.broadcast(mistaken), same & F.col("gone"), "left").withColumn("gone", F.col("gone") & F.col("its_payload_digest").isNull())
+    status = F.when(F.col("warc_type") == "response", "original").otherwise("other").alias("status")
+    full = whole.where(~F.col("gone")).select(*columns, "warc_type", "payload", status, *[F.lit(None).cast("string").alias(c) for c in refers])
+
+    repeated = firsts.where("copies > 1").count()
+    if repeated:
+        tie = F.struct(F.col("http_headers").isNull(), "http_headers", "n")
+        taken = written(again.where("own").groupBy("payload_digest").agg(F.min(tie).alias("best")).select("payload_digest", F.col("best.n").alias("n"), F.col("best.http_headers").alias("http_headers")), "taken")
+        few = taken.count() <= SMALL_IDS
+        mine = bloom.write(again.where("own").select("h"), repeated, BITS_PER_KEY, PROBES)
+        payloads = whole.where("gone").where(mine.probe(mark())).groupBy(*columns[:4]).agg(F.first("payload", ignorenulls=True).alias("payload"))
+        ones = taken.select("n").join(again, "n").drop("http_headers", "n").join(taken.select("payload_digest", "http_headers"), "payload_digest").select(*columns)
+        named = ones.select(*[F.col(c).alias(f"its_{c}") for c in columns])
+        pair = F.lit(True)
+        for c in columns[:4]:
+            pair = pair & F.col(c).eqNullSafe(F.col(f"its_{c}"))
+        kept = named.join(payloads, pair).select(*[F.col(f"its_{c}").alias(c) for c in columns], F.lit("response").alias("warc_type"), "payload", F.lit("original").alias("status"), *[F.lit(None).cast("string").alias(c) for c in refers])
+        full = full.unionByName(kept)
+        again = again.join(F.broadcast(taken.select("n")) if few else taken.select("n"), "n", "left_anti")
+
+    duplicate = again.select(*columns, F.lit("revisit").alias("warc_type"), null, F.lit("duplicate").alias("status"), *refers)
+    revisits = beside(records.where("warc_type = 'revisit'").select(*columns), firsts, "payload_digest", F.col("seen"), "left")
+    found = F.coalesce(F.col("responses"), F.lit(0)) > 0
+    revisits = revisits.select(*columns, F.lit("revisit").alias("warc_type"), null, F.when(found, "resolved").otherwise("unresolved").alias("status"), *refers)
 
     def save(batches):
         fs = out = None
@@ -141,7 +181,7 @@ def write_deduplicated(records: DataFrame, path: str, level: int = 6) -> DataFra
                 out.close()
                 fs.delete_file(f"{folder}/{draft}")
 
-    return written(full.unionByName(again).mapInArrow(save, INDEX), "warc-index")
+    return written(full.select(*out).unionByName(duplicate).unionByName(revisits).mapInArrow(save, INDEX), "warc-index")
 
 
 def read_archive(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -177,32 +217,47 @@ def _records(stream):
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
-    """Two crawls of the page table as WARC records: each page's response, and on the second day, as crawlers log an
-    unchanged page, a revisit without payload. Pages with a null html have an empty payload."""
+    """Crawls of the page table as WARC records: on the first day each page's response. On the second, every fifth page has
+    changed (a new response), the others are logged as unchanged, by a revisit without payload, every seventh with a digest
+    that no response here has. On the third, every third page comes again under the record id of the first day.
+
+    Pages with a null html have an empty payload; a null page_id counts as none of these numbers."""
     need(pages, "page_id", "url", "html")
     body = F.coalesce("html", F.lit(""))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    digest = F.concat(F.lit("sha256:"), F.sha2(body, 256))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    first = pages.select(F.concat(page, F.lit("/1")).alias("record_id"), F.lit("response").alias("warc_type"), F.col("url").alias("target_uri"), F.lit("2024-01-01T00:00:00Z").alias("warc_date"), digest.alias("payload_digest"), http.alias("http_headers"), body.cast("binary").alias("payload"))
-    second = pages.select(F.concat(page, F.lit("/2")).alias("record_id"), F.lit("revisit").alias("warc_type"), F.col("url").alias("target_uri"), F.lit("2024-02-01T00:00:00Z").alias("warc_date"), digest.alias("payload_digest"), F.lit("HTTP/1.1 200 OK\r\n\r\n").alias("http_headers"), F.lit(None).cast("binary").alias("payload"))
-    return first.union(second)
+    every = lambda n: F.coalesce(F.col("page_id") % n == 0, F.lit(False))
+    digest = lambda b: F.concat(F.lit("sha256:"), F.sha2(b, 256))
+
+    def records(n: int, kind: str, day: str, sha: F.Column, b: F.Column | None, rows: DataFrame) -> DataFrame:
+        http = F.lit("HTTP/1.1 200 OK\r\n\r\n") if b is None else F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(b).cast("string"), F.lit("\r\n\r\n"))
+        payload = (F.lit(None) if b is None else b).cast("binary")
+        return rows.select(F.concat(page, F.lit(f"/{n}")).alias("record_id"), F.lit(kind).alias("warc_type"), F.col("url").alias("target_uri"), F.lit(f"{day}T00:00:00Z").alias("warc_date"), sha.alias("payload_digest"), http.alias("http_headers"), payload.alias("payload"))
+
+    changed = F.concat(body, F.lit("\n<!-- changed -->"))
+    lost = digest(F.concat(F.lit("lost "), page))
+    first = records(1, "response", "2024-01-01", digest(body), body, pages)
+    new = records(2, "response", "2024-02-01", digest(changed), changed, pages.where(every(5)))
+    same = records(2, "revisit", "2024-02-01", F.when(every(7), lost).otherwise(digest(body)), None, pages.where(~every(5)))
+    again = records(1, "response", "2024-03-01", digest(body), body, pages.where(every(3)))
+    return first.union(new).union(same).union(again)
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deduplicated archives of two crawls of pages: the index, without the places in files, which depend on partitions."""
+    """Deduplicated archives of the crawls of pages: the index, without the places in files, which depend on partitions."""
     index = write_deduplicated(captures_of_pages(table(spark, sf_dir, "pages")), new_path(spark, "warc"))
     return index.drop("file", "offset", "length")
 
 
-SQL = """
-WITH p AS (SELECT coalesce(CAST(page_id AS VARCHAR), '') AS page, url, coalesce(html, '') AS body FROM pages),
-r AS (SELECT page || '/1' AS record_id, 'response' AS kind, url, '2024-01-01T00:00:00Z' AS warc_date, 'sha256:' || sha256(body) AS digest,
-  strlen('HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(body) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)) AS head, strlen(body) AS size FROM p
- UNION ALL SELECT page || '/2', 'revisit', url, '2024-02-01T00:00:00Z', 'sha256:' || sha256(body), 19, 0 FROM p),
-o AS (SELECT *, first_value(record_id) OVER (PARTITION BY digest ORDER BY (kind <> 'response'), warc_date, record_id) AS original FROM r)
-SELECT record_id, CASE WHEN kind = 'response' AND original <> record_id THEN 'revisit' ELSE kind END AS warc_type,
-  CASE WHEN original = record_id THEN 'original' WHEN kind = 'response' THEN 'duplicate' ELSE 'resolved' END AS status,
-  url AS target_uri, warc_date, digest AS payload_digest, CASE WHEN original <> record_id THEN original END AS refers_to,
-  CAST(CASE WHEN original = record_id THEN head + size ELSE head END AS BIGINT) AS block_length FROM o
+_HEAD = "strlen('HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen({0}) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)) AS head, strlen({0}) AS size"
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(CAST(page_id AS VARCHAR), '') AS page, url, coalesce(html, '') AS body, coalesce(html, '') || chr(10) || '<!-- changed -->' AS changed FROM pages),
+r AS (SELECT page || '/1' AS record_id, 'response' AS kind, url, '2024-01-01T00:00:00Z' AS warc_date, 'sha256:' || sha256(body) AS digest, {_HEAD.format("body")} FROM p
+ UNION ALL SELECT page || '/2', 'response', url, '2024-02-01T00:00:00Z', 'sha256:' || sha256(changed), {_HEAD.format("changed")} FROM p WHERE page_id % 5 = 0
+ UNION ALL SELECT page || '/2', 'revisit', url, '2024-02-01T00:00:00Z', 'sha256:' || sha256(CASE WHEN page_id % 7 = 0 THEN 'lost ' || page ELSE body END), 19, 0 FROM p WHERE coalesce(page_id % 5 <> 0, TRUE)
+ UNION ALL SELECT page || '/1', 'response', url, '2024-03-01T00:00:00Z', 'sha256:' || sha256(body), {_HEAD.format("body")} FROM p WHERE page_id % 3 = 0),
+o AS (SELECT *, row_number() OVER w AS n, first_value(CASE WHEN kind = 'response' THEN record_id END) OVER w AS original FROM r WINDOW w AS (PARTITION BY digest ORDER BY (kind <> 'response'), warc_date, record_id, url NULLS FIRST))
+SELECT record_id, CASE WHEN n = 1 THEN kind ELSE 'revisit' END AS warc_type,
+  CASE WHEN kind = 'revisit' AND original IS NULL THEN 'unresolved' WHEN kind = 'revisit' THEN 'resolved' WHEN n = 1 THEN 'original' ELSE 'duplicate' END AS status,
+  url AS target_uri, warc_date, digest AS payload_digest, CASE WHEN n > 1 OR kind = 'revisit' THEN original END AS refers_to,
+  CAST(CASE WHEN n = 1 THEN head + size ELSE head END AS BIGINT) AS block_length FROM o
 """
