@@ -4,6 +4,7 @@ import glob
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -580,6 +581,31 @@ def test_tiles_are_the_naive_ones():
             assert sorted(decontam.tiles(to(item), to(doc), least)) == sorted(naive_tiles(item, doc, least))
 
 
+def test_tiles_of_repeated_words():
+    to = lambda v: np.array(v, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    for item, doc in (([1] * 9, [1] * 30), ([1, 2] * 6, [2, 1] * 15), ([1] * 5 + [2] * 5, [2] * 20 + [1] * 3), ([1, 1, 2] * 5, [1] * 40 + [2, 1, 1] * 4)):
+        for least in (1, 2, 4):
+            assert sorted(decontam.tiles(to(item), to(doc), least)) == sorted(naive_tiles(item, doc, least))
+    began = time.perf_counter()
+    assert decontam.tiles(to([1] * 1000), to([1] * 1_000_000), 4) == [(0, 0, 1000)]
+    assert decontam.tiles(to([1, 2, 3] * 300), to([3, 1, 2] * 300_000), 4) == [(0, 1, 900)]
+    assert time.perf_counter() - began < 20
+    mark = decontam.Benchmark(["x"], ["one " * 1000], 4, 0.5)
+    h, first, _, _ = words(*raw(pa.array(["One, " * 1_000_000])))
+    assert list(mark.scan(h, first)) == [(0, 0, 1, 1000, 1000)]
+    assert time.perf_counter() - began < 40
+
+
+@pytest.mark.parametrize("small", [decontam.SMALL_CHARS, -1])
+def test_contamination_in_all_scripts(spark, small):
+    items = {1: "机器学习是人工智能的一个重要分支。它研究如何让计算机从数据中学习。", 2: "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。", 3: "ประเทศไทยเป็นประเทศที่ตั้งอยู่ในเอเชียตะวันออกเฉียงใต้", 4: "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему", 5: "¿Dónde está la biblioteca municipal? «Está detrás del ayuntamiento»"}
+    rows = [(10, "前言" + items[1] + "后记", "s"), (11, "昨日" + items[2], "s"), (12, "วันนี้" + items[3] + "ครับ", "s"), (13, "ВОТ: " + items[4].upper() + "!", "s"), (14, "dónde ESTÁ la biblioteca municipal, está detrás del ayuntamiento", "s"), (20, "今天天气很好，我们去公园散步吧。", "s"), (21, "Это совсем другой текст о погоде и о природе родного края", "s"), (22, "今日は天気がいいので散歩に行きましょう。", "s")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = decontam.contamination(docs(spark, rows), bench, small_chars=small).collect()
+    want = {(i, k) for i, t, _ in rows for k, b in items.items() if sum(x[2] for x in naive_tiles(brute_words(b), brute_words(t), 4)) >= 0.5 * len(brute_words(b))}
+    assert {(r.doc_id, r.item_id) for r in got} == want == {(10, 1), (11, 2), (12, 3), (13, 4), (14, 5)}
+
+
 def test_running_hashes_depend_on_the_words_alone():
     h, first, _, _ = words(*raw(pa.array(["a b c d e", "x b c d y", "b c"])))
     g, whole = grams(h, first, 3)
@@ -601,7 +627,7 @@ def leak_fixture():
     return rows + [(100, "here is a Tiny, item.", "s"), (101, None, "s"), (None, items[0][1], "s"), (102, "", "s")], items
 
 
-@pytest.mark.parametrize("small", [10**9, -1])
+@pytest.mark.parametrize("small", [decontam.SMALL_CHARS, -1])
 def test_contamination(spark, small):
     rows, items = leak_fixture()
     tok = lambda t: re.findall(r"[0-9a-z]+", t.lower())
@@ -614,9 +640,9 @@ def test_contamination(spark, small):
                     want.add((i, k, c, len(tok(b))))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     df = docs(spark, rows + rows[:3]).withColumn("item_id", F.lit(1))
-    got = decontam.contamination(df, bench, small_words=small)
+    got = decontam.contamination(df, bench, small_chars=small)
     assert {(r.doc_id, r.item_id, r.covered, r.n_words) for r in got.collect()} == want and got.count() == len(want) >= 15
-    kept = decontam.drop_contaminated(df, bench, small_words=small)
+    kept = decontam.drop_contaminated(df, bench, small_chars=small)
     assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, *_ in rows + rows[:3] if i not in {w[0] for w in want})
 
 
@@ -627,12 +653,12 @@ def test_contamination_awkward(spark):
     assert decontam.contamination(df, bench.limit(0)).count() == 0 and decontam.contamination(empty(spark), bench).count() == 0
 
 
-@pytest.mark.parametrize("small", [10**9, -1])
+@pytest.mark.parametrize("small", [decontam.SMALL_CHARS, -1])
 def test_contaminated_rows(spark, small):
     item = "the quick brown fox jumps over the lazy dog tonight"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     rows = [(None, "so " + item, "s"), (None, "clean text", "s"), (3, item.upper(), "s"), (3, "another clean text", "s"), (4, None, "s"), (None, None, "s"), (None, "so " + item, "s")]
-    kept = decontam.drop_contaminated_rows(docs(spark, rows), bench, small_words=small)
+    kept = decontam.drop_contaminated_rows(docs(spark, rows), bench, small_chars=small)
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, "clean text"), (3, "another clean text"), (4, None), (None, None)])
 
 

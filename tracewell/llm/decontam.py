@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 import numpy as np
@@ -11,108 +10,142 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import need, table, without_ids, written
+from tracewell.llm import bloom
+from tracewell.llm.common import SMALL_IDS, need, table, without_ids, written
 from tracewell.llm.textvec import grams, raw, slices, words
 
 #: Shortest tile in words, and the share of an item's words that tiles must cover.
 TILE, COVERAGE = 4, 0.5
-#: Beyond so many words, the benchmark isn't sent to every worker; seeds are joined by a shuffle instead.
-SMALL_WORDS = 2_000_000
-
-
-def tiles(item: np.ndarray, doc: np.ndarray, least: int, seeds: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+#: Beyond so many characters, the benchmark isn't sent to every worker; seeds are joined by a shuffle instead.
+SMALL_CHARS = 10_000_000
+#: Tasks that the documents sharing one seed are spread over in that shuffle.
+SALT = 32
+
+
+def _pairs(a_seed, a_class, a_at, b_seed, b_class, b_at) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (of a, of b) of all pairs with the same seed but another class, found without the pairs of the same class."""
+    step = int(max(a_class.max(), b_class.max())) + 1
+    key = b_seed * step + b_class
+    order = np.argsort(key, kind="stable")
+    key, b_at = key[order], b_at[order]
+    ends = [np.searchsorted(key, x) for x in (a_seed * step, a_seed * step + a_class, a_seed * step + a_class + 1, (a_seed + 1) * step)]
+    start, n = np.concatenate([ends[0], ends[2]]), np.concatenate([ends[1] - ends[0], ends[3] - ends[2]])
+    b = b_at[np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)]
+    return np.repeat(np.concatenate([a_at, a_at]), n), b
+
+
+def matches(item: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item position, document position, length) of every maximal match of at least ``least`` words.
+
+    A match begins where seeds (``least`` words by their running Karp-Rabin hash) agree but the words before them don't,
+    and ends where the words after them don't. Both are looked up without going through the agreeing seeds in between, so
+    the work grows with the maximal matches: a word repeated a million times costs two passes, not a million times as many pairs.
+    """
+    none = np.zeros(0, np.int64)
+    if min(len(item), len(doc)) < least:
+        return none, none, none
+    seed_i, seed_d = (grams(x, np.array([0, len(x)]), least)[0] for x in (item, doc))
+    known, own = np.unique(seed_i, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, seed_d), len(known) - 1)
+    j = np.flatnonzero(known[at] == seed_d)
+    if not len(j):
+        return none, none, none
+    i, other = np.arange(len(seed_i)), at[j]
+    # Words of the item by number; 0 is the item's border, 1 the document's border or a word that the item lacks.
+    number, item_word = np.unique(item, return_inverse=True)
+    at = np.minimum(np.searchsorted(number, doc), len(number) - 1)
+    item_word, doc_word = np.concatenate(([0], item_word + 2, [0])), np.concatenate(([1], np.where(number[at] == doc, at + 2, 1), [1]))
+    sides = []
+    for shift in (0, least + 1):
+        x, y = _pairs(own, item_word[i + shift], i, other, doc_word[j + shift], j)
+        order = np.lexsort((x, y - x))
+        sides.append((x[order], y[order]))
+    # Along a diagonal beginnings and ends alternate.
+    (x, y), (last, _) = sides
+    return x, y, last - x + least
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two word-hash sequences: (item position, document position, length) of each tile.
 
     The longest match of words that no tile has yet is marked, again and again, until none of ``least`` words is
-    left; equals go by item, then document position. ``seeds`` are the positions whose ``least`` words agree, by
-    running Karp-Rabin hashes; runs of them along a diagonal are the maximal matches. A match that a tile cuts into
-    is put back as the parts that are left.
+    left; equals go by item, then document position. A match that a tile cuts into goes on as the parts that are left.
     """
-    if seeds is None:
-        where = defaultdict(list)
-        whole_item, whole_doc = (grams(x, np.array([0, len(x)]), least)[0] for x in (item, doc))
-        for i, h in enumerate(whole_item.tolist()):
-            where[h].append(i)
-        seeds = [(i, j) for j, h in enumerate(whole_doc.tolist()) for i in where.get(h, ())]
-    along = defaultdict(list)
-    for i, j in seeds:
-        along[j - i].append(i)
-    heap = []
-    for diagonal, positions in along.items():
-        positions.sort()
-        begin = last = positions[0]
-        for i in [*positions[1:], None]:
-            if i is not None and i <= last + 1:
-                last = i
-                continue
-            heap.append((-(last - begin + least), begin, begin + diagonal))
-            if i is not None:
-                begin = last = i
-    heapq.heapify(heap)
-    item_free, doc_free, found = np.ones(len(item), bool), np.ones(len(doc), bool), []
-    while heap:
-        size, i, j = heapq.heappop(heap)
-        free = item_free[i : i - size] & doc_free[j : j - size]
-        if free.all():
-            found.append((i, j, -size))
-            item_free[i : i - size] = doc_free[j : j - size] = False
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8)))
-        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if hi - lo >= least:
-                heapq.heappush(heap, (lo - hi, i + lo, j + lo))
+    i, j, n = matches(item, doc, least)
+    found = []
+    while len(n):
+        best = np.flatnonzero(n == n.max())
+        best = best[i[best] == i[best].min()]
+        k = best[np.argmin(j[best])]
+        a, b, size = int(i[k]), int(j[k]), int(n[k])
+        found.append((a, b, size))
+        for at, begin in ((0, a), (1, b)):
+            s = (i, j)[at]
+            before = np.minimum(s + n, begin) - s
+            skip = np.maximum(s, begin + size) - s
+            left, right = np.minimum(before, n) >= least, n - skip >= least
+            i, j, n = np.concatenate([i[left], (i + skip)[right]]), np.concatenate([j[left], (j + skip)[right]]), np.concatenate([before[left], (n - skip)[right]])
     return found
 
 
 class Benchmark:
-    """Word hashes of all items in a row, and their seeds sorted by hash."""
+    """Word hashes of all items in a row, and each seed's items with how often they have it."""
 
-    def __init__(self, ids: list, texts: list[str], least: int):
-        self.ids = ids
+    def __init__(self, ids: list, texts: list[str], least: int, coverage: float):
+        self.ids, self.least, self.coverage = ids, least, coverage
         self.hash, self.first, _, _ = words(*raw(pa.array(texts, pa.string())))
-        self.least = least
+        self.size = np.diff(self.first)
         seed, whole = grams(self.hash, self.first, least)
         at = np.flatnonzero(whole)
-        at = at[np.argsort(seed[at], kind="stable")]
-        self.seed, self.seed_at = seed[at], at
-        self.item_of = np.repeat(np.arange(len(ids)), np.diff(self.first))
-        bits = max(16, int(len(at) * 16).bit_length())
+        item = np.repeat(np.arange(len(ids)), self.size)[at]
+        order = np.lexsort((item, seed[at]))
+        seed, item = seed[at][order], item[order]
+        new = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (item[1:] != item[:-1]))) if len(seed) else at
+        self.item, self.times = item[new], np.diff(np.append(new, len(seed)))
+        self.seed, begin = np.unique(seed[new], return_index=True)
+        self.begin = np.append(begin, len(new))
+        bits = max(16, int(len(self.seed) * 16).bit_length())
         self.shift = np.uint64(64 - bits)
         self.may = np.zeros(1 << bits, bool)
         self.may[(self.seed >> self.shift).astype(np.int64)] = True
 
     def scan(self, h: np.ndarray, first: np.ndarray):
-        """(text, item, tiles, words covered, words of the item) of every pair with a seed in common."""
+        """(text, item, tiles, words covered, words of the item) of every pair whose tiles cover enough of the item.
+
+        Only pairs are tiled where the item's seeds that the text has could cover it: each covers ``least`` words.
+        """
         seed, whole = grams(h, first, self.least)
         at = np.flatnonzero(self.may[(seed >> self.shift).astype(np.int64)] & whole) if len(seed) else np.zeros(0, np.int64)
-        lo, hi = np.searchsorted(self.seed, seed[at], "left"), np.searchsorted(self.seed, seed[at], "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         if not len(at):
             return
-        doc_at = np.repeat(at, n)
-        item_at = self.seed_at[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)]
-        text = np.searchsorted(first, doc_at, "right") - 1
-        item = self.item_of[item_at]
-        order = np.lexsort((doc_at, item, text))
-        text, item, doc_at, item_at = text[order], item[order], doc_at[order], item_at[order]
-        cut = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])))
-        for s, e in zip(cut, np.append(cut[1:], len(text))):
-            t, m = int(text[s]), int(item[s])
+        k = np.minimum(np.searchsorted(self.seed, seed[at]), len(self.seed) - 1)
+        hit = self.seed[k] == seed[at]
+        text, k = np.searchsorted(first, at[hit], "right") - 1, k[hit]
+        once = np.unique(text * len(self.seed) + k)
+        text, k = once // len(self.seed), once % len(self.seed)
+        n = self.begin[k + 1] - self.begin[k]
+        post = np.arange(int(n.sum())) + np.repeat(self.begin[k] - (np.cumsum(n) - n), n)
+        pair, which = np.unique(np.repeat(text, n) * len(self.ids) + self.item[post], return_inverse=True)
+        times = np.bincount(which, self.times[post], minlength=len(pair))
+        for p in pair[times * self.least >= self.coverage * self.size[pair % len(self.ids)]].tolist():
+            t, m = divmod(p, len(self.ids))
             own = self.hash[self.first[m] : self.first[m + 1]]
-            found = tiles(own, h[first[t] : first[t + 1]], self.least, list(zip((item_at[s:e] - self.first[m]).tolist(), (doc_at[s:e] - first[t]).tolist())))
-            yield t, m, len(found), sum(x[2] for x in found), len(own)
+            found = tiles(own, h[first[t] : first[t + 1]], self.least)
+            covered = sum(x[2] for x in found)
+            if covered >= self.coverage * len(own):
+                yield t, m, len(found), covered, len(own)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, least: int = TILE, coverage: float = COVERAGE, small_words: int = SMALL_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, least: int = TILE, coverage: float = COVERAGE, small_chars: int = SMALL_CHARS) -> DataFrame:
     """(doc_id, item_id, n_tiles, covered, n_words, coverage) of each document and benchmark item where tiles cover enough of the item.
 
-    Words are compared without case, punctuation or white space. Tiles may lie anywhere in the document, so an item
+    Words (of any script, see textvec) are compared without case, punctuation or white space. Tiles may lie anywhere in the document, so an item
     whose passages were put in another order, or spread, is found as well. An item shorter than ``least`` words is a
     tile as a whole. Documents whose doc_id or text is null, and items whose item_id or text is null or without a word,
-    match nothing. Repeated rows are each reported once: equal rows of the result fall together. Extra columns are ignored.
+    match nothing. Repeated rows are each reported once: equal rows of the result fall together. Texts of any length are
+    compared whole, also ones that repeat a few words without end. Extra columns are ignored; empty tables give no rows.
 
-    Seeds of a benchmark of up to ``small_words`` words go to every worker and the documents are read once, without a
+    Seeds of a benchmark of up to ``small_chars`` characters go to every worker and the documents are read once, without a
     shuffle. A larger one is joined to the documents' seeds by a shuffle; both ways give the same rows.
     """
     need(docs, "doc_id", "text")
@@ -120,8 +153,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = TILE, cove
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("n_tiles", T.IntegerType()), T.StructField("covered", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("coverage", T.DoubleType())])
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+"))), F.lit(0))).head()[0]
-    if size > small_words:
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
+    if size > small_chars:
         return _by_shuffle(texts, items, least, coverage, schema)
     rows = sorted(items.collect(), key=lambda r: (str(r.item_id), r.text))
     by_least = defaultdict(list)
@@ -132,13 +165,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = TILE, cove
     sent = docs.sparkSession.sparkContext.broadcast([(n, [r.item_id for r in rs], [r.text for r in rs]) for n, rs in sorted(by_least.items())])
 
     def scan(batches):
-        marks = [Benchmark(ids, own, n) for n, ids, own in sent.value]
+        marks = [Benchmark(ids, own, n, coverage) for n, ids, own in sent.value]
         for batch in batches:
             out = []
             for at, part in slices(batch.column(1)):
                 h, first, _, _ = words(*raw(part))
                 for mark in marks:
-                    out.extend((t + at, mark.ids[m], k, c, n, c / n) for t, m, k, c, n in mark.scan(h, first) if c >= coverage * n)
+                    out.extend((t + at, mark.ids[m], k, c, n, c / n) for t, m, k, c, n in mark.scan(h, first))
             if out:
                 where, *rest = zip(*out)
                 yield pa.record_batch([batch.column(0).take(pa.array(where)), *(pa.array(v) for v in rest)], names=schema.names).cast(_arrow(schema))
@@ -153,34 +186,60 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def _by_shuffle(texts: DataFrame, items: DataFrame, least: int, coverage: float, schema: T.StructType) -> DataFrame:
-    """Seeds of both sides meet by their hash; then each candidate pair is tiled with both word sequences beside it."""
+    """Seeds of both sides meet by their hash; then the pairs left are tiled with both texts beside each other.
+
+    Documents emit seeds only of the lengths that items have, and only those that a Bloom filter of all items' seeds,
+    mapped from the shared folder, lets pass. The pairs are those whose shared seeds could cover enough of the item, and only
+    the texts of their documents (by a second filter) are shuffled.
+    """
 
-    def seeds(batches):
+    def numbers(h, first, n):
+        """(owner, seed) of each n words in a row; seeds of different lengths are different."""
+        g, whole = grams(h, first, n)
+        at = np.flatnonzero(whole)
+        return (np.searchsorted(first, at, "right") - 1)[: len(at)], g[at] + np.uint64(n)
+
+    def of_items(batches):
         for batch in batches:
             for at, part in slices(batch.column(1)):
                 h, first, _, _ = words(*raw(part))
-                count = np.diff(first)
-                owner = np.repeat(np.arange(len(count)), count)
-                seen = []
+                size = np.diff(first)
                 for n in range(1, least + 1):
-                    g, whole = grams(h, first, n)
-                    where = np.flatnonzero(whole)
-                    if batch.schema.names[0] == "item_id":
-                        where = where[np.minimum(count[owner[where]], least) == n]
-                    if len(where):
-                        pair = np.unique(np.stack([owner[where].astype(np.uint64), g[where] + np.uint64(n)]), axis=1)
-                        seen.append(pair)
-                if seen:
-                    who, g = np.concatenate(seen, axis=1)
-                    yield pa.record_batch([batch.column(0).take(pa.array(who.astype(np.int64) + at)), pa.array(g.view(np.int64))], names=[batch.schema.names[0], "seed"])
-
-    def types(df, first):
-        return T.StructType([T.StructField(first, df.schema[first].dataType), T.StructField("seed", T.LongType())])
-
-    item_seeds = items.mapInArrow(seeds, types(items, "item_id"))
-    doc_seeds = texts.mapInArrow(seeds, types(texts, "doc_id"))
-    pairs = written(doc_seeds.join(item_seeds, "seed").select("doc_id", "item_id").distinct(), "candidates")
-    both = pairs.join(texts.distinct(), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "text", "item_text")
+                    who, seed = numbers(h, first, n)
+                    own = np.minimum(size[who], least) == n
+                    both, times = np.unique(np.stack([who[own].astype(np.uint64), seed[own]]), axis=1, return_counts=True)
+                    if both.size:
+                        who = both[0].astype(np.int64)
+                        yield pa.record_batch([batch.column(0).take(pa.array(who + at)), pa.array(both[1].view(np.int64)), pa.array(times), pa.array(size[who]), pa.array(np.full(len(who), n))], names=["item_id", "h", "times", "size", "n"])
+
+    id_type = T.StructField("item_id", items.schema["item_id"].dataType)
+    posts = written(items.mapInArrow(of_items, T.StructType([id_type, *(T.StructField(c, T.LongType()) for c in ("h", "times", "size", "n"))])), "item-seeds")
+    lengths = sorted(r.n for r in posts.select("n").distinct().collect())  # at most ``least`` numbers
+    filter_ = bloom.write(posts.select("h"), posts.count(), 16, 5)
+
+    def of_docs(batches):
+        for batch in batches:
+            for at, part in slices(batch.column(1)):
+                h, first, _, _ = words(*raw(part))
+                for n in lengths:
+                    who, seed = numbers(h, first, n)
+                    hit = filter_.may(seed)
+                    both = np.unique(np.stack([who[hit].astype(np.uint64), seed[hit]]), axis=1)
+                    if both.size:
+                        yield pa.record_batch([batch.column(0).take(pa.array(both[0].astype(np.int64) + at)), pa.array(both[1].view(np.int64))], names=["doc_id", "h"])
+
+    doc_type = T.StructField("doc_id", texts.schema["doc_id"].dataType)
+    have = texts.mapInArrow(of_docs, T.StructType([doc_type, T.StructField("h", T.LongType())]))
+    # A seed that many documents share meets its items in SALT tasks.
+    salted = posts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = have.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["h", "salt"])
+    # Several texts of one id, or a repeated row, can only raise the count.
+    could = met.groupBy("doc_id", "item_id").agg(F.sum(F.col("times") * F.col("n")).alias("most"), F.max("size").alias("size")).where(F.col("most") >= coverage * F.col("size"))
+    pairs = written(could.select("doc_id", "item_id"), "candidates")
+    ids = pairs.select("doc_id").distinct()
+    n_ids = ids.count()
+    some = texts.join(F.broadcast(ids), "doc_id", "left_semi") if n_ids <= SMALL_IDS else texts.where(bloom.write(ids.select(F.xxhash64("doc_id").alias("h")), n_ids).probe(F.xxhash64("doc_id")))
+    both = some.join(pairs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "text", "item_text")
 
     def tile(batches):
         for batch in batches:
