@@ -391,7 +391,10 @@ def brute_groups(rows):
     return {i: find(i) for i in sig if Counter(map(find, sig))[find(i)] > 1}
 
 
-def test_near_groups_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("block,hot", [(minhash.BLOCK, common.HOT_ROWS), (3, 2)])
+def test_near_groups_are_those_of_all_pairs(spark, monkeypatch, block, hot):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows = near_fixture()
     got = {r.doc_id: r.group_id for r in minhash.near_groups(docs(spark, rows)).collect()}
     assert got == brute_groups(rows)
@@ -422,6 +425,45 @@ def test_buckets_with_a_far_centre(spark):
     assert [tuple(r) for r in minhash._crossing(rows.coalesce(1)).collect()] == [(1, 2)]
 
 
+def test_signatures_agree_as_often_as_word_pairs_are_shared():
+    # Against exact Jaccard similarities: the share of equal hashes is binomial around them.
+    rng = random.Random(15)
+    for swap in (0.0, 0.02, 0.1, 0.3, 1.0):
+        off = []
+        for _ in range(60):
+            a = sentence(rng, 150).split()
+            b = [w if rng.random() > swap else rng.choice(WORDS) + "x" for w in a]
+            pairs = [set(zip(x, x[1:])) for x in (a, b)]
+            jaccard = len(pairs[0] & pairs[1]) / len(pairs[0] | pairs[1])
+            _, sig = minhash.signatures(*raw(pa.array([" ".join(a), " ".join(b)])))
+            off.append((sig[0] == sig[1]).mean() - jaccard)
+        assert abs(np.mean(off)) < 3 * 0.5 / np.sqrt(60 * minhash.HASHES) and np.std(off) < 0.12
+
+
+def test_near_groups_of_other_ids_and_scripts(spark):
+    rng = random.Random(16)
+    a = sentence(rng, 80)
+    zh = "".join(chr(0x4E00 + rng.randrange(800)) for _ in range(300))
+    th = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(300))
+    rows = [("x1", a), ("x2", a + " end"), ("z1", "序言" + zh), ("z2", zh + "。完"), ("t1", th), ("t2", th[:-3]), ("u", "".join(chr(0x4E00 + rng.randrange(800)) for _ in range(300)))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id: r.group_id for r in minhash.near_groups(df).collect()} == {"x1": "x1", "x2": "x1", "z1": "z1", "z2": "z1", "t1": "t1", "t2": "t1"}
+    assert {r.doc_id for r in minhash.drop_near_rows(df).collect()} == {"x1", "z1", "t1", "u"}
+
+
+def test_a_hot_group_stays_behind(spark):
+    # Half of all rows are near copies of one text: a bucket has one row for each batch, and one group comes out.
+    rng = random.Random(17)
+    base = sentence(rng, 60).split()
+    rows = [(i, " ".join(base + [str(i)]) if i % 2 else sentence(rng, 30), "s") for i in range(3000)]
+    df = docs(spark, rows).repartition(4)
+    got = {r.doc_id: r.group_id for r in minhash.near_groups(df).collect()}
+    assert got == {i: 1 for i in range(1, 3000, 2)}
+    nodes = minhash._nodes(minhash.signature_table(df)).select("id", "sig")
+    most = minhash._centers(nodes).groupBy("key").count().agg(F.max("count")).head()[0]
+    assert most <= nodes.rdd.getNumPartitions()
+
+
 def test_near_awkward(spark):
     df = awkward(spark)
     got = {r.doc_id: r.group_id for r in minhash.near_groups(df).collect()}
@@ -433,7 +475,8 @@ def test_near_awkward(spark):
 
 @pytest.mark.parametrize("small", [common.SMALL_IDS, -1])
 def test_near_rows(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL_IDS", small)
+    monkeypatch.setattr(common, "SMALL_IDS", small)
+    monkeypatch.setattr(common, "HOT_ROWS", common.HOT_ROWS if small > 0 else 2)
     rng = random.Random(12)
     a, b, c, d = (sentence(rng, 60) for _ in range(4))
     # Copies under null ids, a repeated row, one id with two texts, a null id alone, and what has no words.

@@ -115,13 +115,37 @@ def beside(rows: DataFrame, side: DataFrame, key: str, rows_of_key: Column, how:
     return out.unionByName(none)
 
 
-#: Ids up to this many are sent to all workers; more are joined by a shuffle.
+#: Ids up to this many are sent to all workers; more are told apart by a filter.
 SMALL_IDS = 500_000
 
 
+def without(rows: DataFrame, key: Column, gone: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """``rows`` whose ``key`` isn't in ``gone(gone)``, each key of it once; a null key stays. No row is shuffled.
+
+    Up to SMALL_IDS keys are sent to all. More make a Bloom filter that workers map; the keys that it takes for gone but
+    aren't are found beforehand among ``keys(key)`` (all keys of ``rows``, read from them where not given), by a shuffle of the keys that
+    hit, and sent to all. With too many of these the filter is made anew with more bits.
+    """
+    from tracewell.llm import bloom
+
+    n = gone.count()
+    if n <= SMALL_IDS:
+        return rows.join(F.broadcast(gone), key == F.col("gone"), "left_anti")
+    keys = rows.select(key.alias("key")).where("key IS NOT NULL") if keys is None else keys
+    bits = 24
+    while True:
+        filter_ = bloom.write(gone.select(F.xxhash64("gone").alias("h")), n, bits, 8)
+        hits = keys.where(filter_.probe(F.xxhash64("key")))
+        mistaken = written(hits.join(gone, F.col("key") == F.col("gone"), "left_anti").distinct(), "mistaken")
+        if mistaken.count() <= max(SMALL_IDS, 1000):
+            break
+        bits += 8
+    marked = rows.withColumn("gone_key", key).withColumn("hit", F.when(F.col("gone_key").isNotNull(), filter_.probe(F.xxhash64("gone_key"))).otherwise(False))
+    stays = marked.join(F.broadcast(mistaken.withColumnRenamed("key", "mistaken_key")), F.col("hit") & (F.col("gone_key") == F.col("mistaken_key")), "left")
+    return stays.where(~F.col("hit") | F.col("mistaken_key").isNotNull()).select(*rows.columns)
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, by: str | Column = "row.doc_id") -> DataFrame:
     """The rows of ``docs`` whose doc_id (or ``by``, of the struct ``row``) isn't in ``gone(gone)``; nulls stay, all columns as they were."""
     by = F.col(by) if isinstance(by, str) else by
-    gone = written(gone.distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= SMALL_IDS else gone
-    return unpacked(packed(docs).join(side, by == F.col("gone"), "left_anti"))
+    return unpacked(without(packed(docs), by, written(gone.distinct(), "gone")))

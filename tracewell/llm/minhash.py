@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import SMALL_IDS, need, packed, table, unpacked, without_ids, written
+from tracewell.llm import bloom
+from tracewell.llm.common import beside, need, packed, table, unpacked, without, without_ids, written
 from tracewell.llm.graph import components
 from tracewell.llm.textvec import grams, mix, raw, slices, words
 
@@ -19,6 +20,8 @@ HASHES, SHINGLE = 32, 2
 DISTANCE = 13
 #: Pigeonhole: 7 chunks and at most 13 = 2 * 7 - 1 differing hashes leave a chunk with one error at most.
 CHUNKS, ERRORS = 7, 1
+#: Members of one bucket that a task compares at once; a larger bucket is compared block by block in many tasks.
+BLOCK = 4096
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -71,7 +74,7 @@ def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, null_ids: bool = False) -> DataFrame:
-    """(id, sig) of all rows with an id (or, if ``null_ids``, without one, too) and at least one word."""
+    """(id, sig) of all rows with an id of any type (or, if ``null_ids``, without one, too) and at least one word."""
 
     def sign(batches):
         for batch in batches:
@@ -80,8 +83,9 @@ def signature_table(docs: DataFrame, null_ids: bool = False) -> DataFrame:
                 if len(have):
                     yield pa.record_batch([batch.column(0).take(pa.array(have + at)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text IS NOT NULL")
-    return (rows if null_ids else rows.where("id IS NOT NULL")).mapInArrow(sign, "id long, sig binary")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
+    schema = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("sig", T.BinaryType())])
+    return (rows if null_ids else rows.where("id IS NOT NULL")).mapInArrow(sign, schema)
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -99,6 +103,48 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(index, "key long, " + ", ".join(f"{n} long" for n in names))
 
 
+def _centers(nodes: DataFrame) -> DataFrame:
+    """(key, id): of nodes(id, sig), each batch's smallest member of each of its buckets. The rest of a bucket stays behind, however
+    large it is, so a bucket has no more rows here than there are batches."""
+
+    def index(batches):
+        for batch in batches:
+            ids, keys = _bucketed(batch)
+            first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+            yield pa.record_batch([pa.array(keys[first]), pa.array(ids[first])], names=["key", "id"])
+
+    return nodes.select("id", "sig").mapInArrow(index, "key long, id long")
+
+
+def _bucketed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(id, key) of all members of all buckets of a batch(id, sig), by key, then id."""
+    keys = index_keys(np.frombuffer(raw(batch.column(1))[0], np.uint16).reshape(-1, HASHES)).ravel()
+    ids = np.repeat(batch.column(0).to_numpy(), HASHES)
+    order = np.lexsort((ids, keys))
+    return ids[order], keys[order]
+
+
+def _local(nodes: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of the members of each batch's buckets with the smallest member there."""
+
+    def link(batches):
+        for batch in batches:
+            ids, keys = _bucketed(batch)
+            if not len(ids):
+                continue
+            first = np.append(True, keys[1:] != keys[:-1])
+            center = ids[first][np.cumsum(first) - 1]
+            pair = np.unique(np.stack([ids[~first], center[~first]]), axis=1)
+            own = batch.column(0).to_numpy()
+            order = np.argsort(own)
+            sig = np.frombuffer(raw(batch.column(1))[0], np.uint16).reshape(-1, HASHES)
+            a, b = (order[np.searchsorted(own[order], x)] for x in pair)
+            near = np.concatenate([(sig[a[k : k + 8192]] != sig[b[k : k + 8192]]).sum(axis=1) for k in range(0, len(a), 8192)]) <= DISTANCE if len(a) else np.zeros(0, bool)
+            yield pa.record_batch([pa.array(pair[0][near]), pa.array(pair[1][near])], names=["a", "b"])
+
+    return nodes.select("id", "sig").mapInArrow(link, "a long, b long")
+
+
 def _near(pairs: DataFrame) -> DataFrame:
     @F.arrow_udf("int")
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -155,38 +201,55 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Groups are the connected components of *all* pairs of documents whose signatures differ in DISTANCE hashes at
     most; no such pair is missed (pigeonhole), and none beyond it links. First equal signatures fall together.
-    Then each bucket of the index links its members to its smallest one where the distance allows, and the
-    components are labelled: time and shuffle grow with documents, not with pairs, however many copies there are.
-    Only buckets that still hold differing labels compare their members further.
+    Then each bucket of the index links its members to a smallest one, first within a batch, then among batches, where the
+    distance allows, and the components are labelled: time and shuffle grow with documents, not with pairs, however many
+    copies there are. Only buckets that still hold differing labels compare their members further.
 
-    Rows with a null doc_id or text, or without a word, have no near copies. Rows of one doc_id count as
-    one document that has the words of each; they never make a group by themselves. Other columns are ignored. An empty table gives none.
+    doc_id may have any type that can be ordered. Rows with a null doc_id or text, or without a word, have no near copies. Rows of one
+    doc_id count as one document that has the words of each; they never make a group by themselves. Texts of any length are
+    signed whole. Other columns are ignored. An empty table gives none.
     """
     need(docs, "doc_id", "text")
     signed = written(signature_table(docs).distinct(), "signatures")
-    by_sig = Window.partitionBy("sig")
-    same = signed.select("id", F.min("id").over(by_sig).alias("first"), F.row_number().over(by_sig.orderBy("id")).alias("n"), "sig")
-    same = written(same, "nodes")
-    equal = same.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    nodes = same.where("n = 1").select("id", "sig")
-    labels = _linked(nodes, equal)
-    return labels.join(labels.groupBy("label").count().where("count > 1"), "label", "left_semi").select(F.col("node").alias("doc_id"), F.col("label").alias("group_id"))
+    nodes = _nodes(signed)
+    several = signed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    equal = nodes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    if not several.isEmpty():
+        owned = written(beside(signed, several, "id", F.col("n")).select(F.col("id").alias("doc"), "n", "sig").join(nodes, "sig").select("doc", "n", F.col("id").alias("a")), "owned")
+        equal = beside(owned.select("doc", "a"), owned.groupBy("doc").agg(F.min("a").alias("b"), F.max("n").alias("n")), "doc", F.col("n")).select("a", "b").where("a <> b")
+    member = written(_labelled(signed, nodes, equal).select("id", "label").distinct(), "members")
+    groups = member.groupBy("label").agg(F.min("id").alias("group_id"), F.count("*").alias("size")).where("size > 1")
+    return beside(member, groups, "label", F.col("size")).select(F.col("id").alias("doc_id"), "group_id")
+
+
+def _nodes(signed: DataFrame) -> DataFrame:
+    """(sig, rows, id): each signature of signed(id, sig) once, with a number, written so that it stays."""
+    return written(signed.groupBy("sig").agg(F.count("*").alias("rows")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+
+
+def _labelled(signed: DataFrame, nodes: DataFrame, equal: DataFrame) -> DataFrame:
+    """``signed`` with the label of each row's component."""
+    found = nodes.join(_linked(nodes.select("id", "sig"), equal), F.col("id") == F.col("node"), "left").select("sig", "rows", F.coalesce("label", "id").alias("label"))
+    return beside(signed, found, "sig", F.col("rows"))
 
 
 def _linked(nodes: DataFrame, equal: DataFrame) -> DataFrame:
     """(node, label) of the components of nodes(id, sig), each signature once, by near pairs and the edges equal(a, b)."""
-    keyed = _keyed(nodes)
-    star = keyed.select("id", F.min("id").over(Window.partitionBy("key")).alias("center")).where("id <> center").distinct()
+    star = _centers(nodes).select("id", F.min("id").over(Window.partitionBy("key")).alias("center")).where("id <> center").distinct()
     lookup = nodes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
     other = nodes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     pairs = star.select(F.col("id").alias("a"), F.col("center").alias("b")).join(lookup, "a").join(other, "b")
-    edges = written(_near(pairs).select("a", "b").union(equal), "star")
+    edges = written(_near(pairs).select("a", "b").union(_local(nodes)).union(equal), "star")
     labels = written(components(edges), "labels")
 
     labelled = written(nodes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "sig"), "labelled")
-    mixed = _keyed(labelled).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    members = _keyed(labelled).join(mixed, "key", "left_semi")
-    rows = members.join(labelled.select("id", "sig"), "id").select("key", "id", "label", "sig")
+    mixed = _keyed(labelled).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = written(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "mixed")
+    members = _keyed(labelled).join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks"))
+    # Each pair of blocks of a bucket is a unit of its own; one block, as almost always, is one unit.
+    units = members.withColumn("its", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = units.select("id", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "its"), F.greatest("mine", "its"))).alias("key"))
+    rows = units.join(labelled, "id").select("key", "id", "label", "sig")
     crossing = _crossing(rows.repartition("key").sortWithinPartitions("key", "id"))
     more = written(crossing.distinct(), "crossing")
     if not more.isEmpty():
@@ -223,29 +286,31 @@ def drop_near_rows(docs: DataFrame) -> DataFrame:
     Every row with a word is compared by its own text, also rows with a null doc_id, repeated rows and further texts of
     one doc_id. Groups are those of near_groups(), of signatures instead of ids. The row with the smallest doc_id stays,
     null ids last; of several such rows, the first by signature, then by all columns. Rows with a null text or no word stay.
+    An empty table stays empty.
     """
     need(docs, "doc_id", "text")
+
+    def row_key(doc_id: Column, sig: Column) -> Column:
+        """What a row is found again by: a hash of its id and signature."""
+        return F.when(sig.isNotNull(), F.xxhash64(doc_id.isNull(), doc_id, sig))
+
     signed = written(signature_table(docs, null_ids=True).groupBy("id", "sig").agg(F.count("*").alias("copies")), "signatures")
-    nodes = written(signed.select("sig").distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
-    labels = _linked(nodes, nodes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b")))
-    member = nodes.join(labels, F.col("id") == F.col("node"), "left").select("sig", F.coalesce("label", "id").alias("label"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.col("id").isNull(), "id", "sig"))
-    mark = F.when(F.col("sig").isNotNull(), F.xxhash64("sig"))
-    ranked = signed.join(member, "sig").select("id", mark.alias("mark"), "copies", nth.alias("n"))
-    decided = written(ranked.where("n > 1 OR copies > 1").select("id", F.col("mark").alias("its"), (F.col("n") == 1).alias("stays")), "decided")
-
-    # A row is found again by its id and a hash of its signature.
-    rows = packed(docs).withColumn("of", F.col("row.doc_id").cast("long")).withColumn("sig", _signature("row.text")).select("row", "of", mark.alias("mark"))
-    small = decided.count() <= SMALL_IDS
-
-    def beside(found: DataFrame, how: str) -> DataFrame:
-        return rows.join(F.broadcast(found) if small else found, F.col("of").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its")), how)
-
-    kept = beside(decided, "left_anti").select("row")
-    repeated = decided.where("stays")
-    if not repeated.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("of", "mark").orderBy(F.to_json("row")))
-        kept = kept.union(beside(repeated, "inner").withColumn("nth", nth).where("nth = 1").select("row"))
+    nodes = _nodes(signed)
+    member = written(_labelled(signed, nodes, nodes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))).select("id", "sig", "copies", "label"), "members")
+    order = F.struct(F.col("id").isNull(), "id", "sig")
+    best = member.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("size"))
+    ranked = beside(member, best, "label", F.col("size")).select(row_key(F.col("id"), F.col("sig")).alias("key"), (F.col("best") == order).alias("stays"), "copies")
+    ranked = written(ranked, "ranked")
+
+    rows = packed(docs).withColumn("mark", row_key(F.col("row.doc_id"), _signature("row.text")))
+    decided = ranked.where("NOT stays OR copies > 1").select(F.col("key").alias("gone")).distinct()
+    kept = without(rows, F.col("mark"), written(decided, "decided"), ranked.select("key")).select("row")
+    repeated = written(ranked.where("stays AND copies > 1").select("key"), "repeated")
+    if n := repeated.count():
+        # Of rows that repeat a whole group's first one, all columns decide; a limit before the shuffle leaves one for each task.
+        again = rows.where(F.col("mark").isNotNull()).where(bloom.write(repeated.select(F.xxhash64("key").alias("h")), n).probe(F.xxhash64("mark")))
+        nth = F.row_number().over(Window.partitionBy("mark").orderBy(F.to_json("row")))
+        kept = kept.union(again.withColumn("nth", nth).where("nth = 1").join(repeated, F.col("mark") == F.col("key"), "left_semi").select("row"))
     return unpacked(kept)
 
 
