@@ -19,6 +19,10 @@ TO_POOLED, TO_DIAGONAL = 0.2, 0.05
 #: A document goes when its log odds of low quality exceed this.
 THRESHOLD = 2.0
 
+#: The model is fitted on at most so many label rows, those with the smallest hash of their doc_id: enough for 240 sums, and few
+#: enough to send to all workers, so only labelled documents are read for it.
+MOST_LABELS = 200_000
+
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _ALPHA = _UPPER.copy()
@@ -69,7 +73,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     run[off[:-1][off[:-1] < len(run)]] = False
     length = end - start
     after = np.zeros(len(end), bool)
-    inner = end < len(data)
+    inner = end < off[1:][owner]  # the byte after a text's last word is another text's
     after[inner] = symbol[end[inner]]
     line = np.zeros(len(data), bool)
     line[:] = data == 10
@@ -161,10 +165,16 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "text").where("text IS NOT NULL").select("doc_id", _features("text").alias("x")), "features")
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the label rows that count, MOST_LABELS at most. Null doc_ids and a quality other than 0 and 1 don't."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    return known if known.count() <= MOST_LABELS else known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MOST_LABELS)
+
+
 def fit(features: DataFrame, labels: DataFrame) -> Model:
-    """Fit on *every* labelled row: classes need only their sums and sums of products, added up where the rows are.
+    """Fit on (doc_id, x) of the labelled rows: classes need only their sums and sums of products, added up where the rows are.
 
-    Labels with a null doc_id or a quality other than 0 and 1 are left out; a repeated label row counts again.
+    All labels count, up to MOST_LABELS (see known_labels); a repeated label row counts again.
     """
     d = len(FEATURES)
 
@@ -181,7 +191,7 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
         values = np.concatenate([n, total.ravel(), products.ravel()])
         yield pa.record_batch([pa.array(np.arange(len(values)).astype(np.int32)), pa.array(values)], names=["i", "v"])
 
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    known = F.broadcast(known_labels(labels))
     sums = features.join(known, "doc_id").select("x", "y").mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     values = np.zeros(2 + 2 * d + 2 * d * d)
     for r in sums:
@@ -215,9 +225,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that classify() keeps; all columns as they were. Texts stay where they are: nothing is shuffled but features of labelled rows."""
+    """The rows of ``docs`` that classify() keeps; all columns as they were.
+
+    Statistics are computed once for each row, and once more for those with a label that counts. Texts stay where they are: the labels
+    are sent to them, nothing is shuffled. Texts of any length are read whole.
+    """
     need(docs, "doc_id", "text")
-    model = fit(feature_table(docs), labels)
+    need(labels, "doc_id", "quality")
+    # The labels' ids first, so statistics are those of labelled rows only; then each such row once.
+    ids = F.broadcast(known_labels(labels).select("doc_id").distinct())
+    labelled = docs.select("doc_id", "text").where("text IS NOT NULL").join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    model = fit(written(labelled.select("doc_id", _features("text").alias("x")), "features"), labels)
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
