@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm import bpe
 from tracewell.llm.common import need, packed, table, unpacked, written
 
 #: A document's place in its source is a 60-bit hash of its doc_id, read in five steps of 12 bits.
@@ -18,9 +22,20 @@ def place(doc_id="doc_id"):
     return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def n_tokens(text="text"):
-    """Pieces between blanks, tabs and line ends; a null text has none, an empty one counts as one piece."""
-    return F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text), r"[ \t\r\n]+"))).cast("long")
+def n_words(text: Column) -> Column:
+    """Pieces between blanks, tabs and line ends, as SQL can count them; a null or empty text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\r\n]+")), F.lit(0)).cast("long")
+
+
+def n_tokens(text: Column, vocabulary: str = bpe.DEFAULT_VOCABULARY) -> Column:
+    """Tokens of the whole text in the vocabulary that operators 9 and 10 use; a null or empty text has none."""
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        coder = bpe.load(vocabulary)
+        return pa.array([len(coder.ids(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
+
+    return count(text)
 
 
 def budgets(narrow: DataFrame, weights: DataFrame | None, percent: int) -> DataFrame:
@@ -78,20 +93,21 @@ def thresholds(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
     return done
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, percent: int = 100) -> DataFrame:
+def mixed(docs: DataFrame, weights: DataFrame | None = None, percent: int = 100, tokens: Callable[[Column], Column] = n_tokens) -> DataFrame:
     """(doc_id, source, tokens, level) of the documents chosen: ``level`` is the smallest of the nested budgets that holds it.
 
     Within a source, documents are taken in the order of a hash of their doc_id while their tokens fit the source's budget, so
     a smaller budget's choice lies within a larger one's, and a document's fate depends on its source alone. Rows of
     one doc_id share a place and are taken or left together (all null ids count as one id). A null source is a source of its
-    own; a null text has no tokens. A source with less than its budget is taken whole, without repeats. Extra columns are ignored.
+    own; a null or empty text has no tokens. A source with less than its budget is taken whole, without repeats. Extra columns are ignored;
+    an empty table gives no rows. ``tokens`` counts a text's tokens, by default those of the vocabulary; each text is counted once, whole.
     """
-    return _chosen(docs, weights, percent).select("doc_id", "source", "tokens", "level")
+    return _chosen(docs, weights, percent, tokens).select("doc_id", "source", "tokens", "level")
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
+def _narrow(docs: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
     need(docs, "doc_id", "source", "text")
-    return written(docs.select("doc_id", "source", n_tokens().alias("tokens"), place().alias("place")), "narrow")
+    return written(docs.select("doc_id", "source", tokens(F.col("text")).alias("tokens"), place().alias("place")), "narrow")
 
 
 def _levels(narrow: DataFrame, weights: DataFrame | None, percent: int) -> DataFrame:
@@ -105,27 +121,27 @@ def _level(at) -> F.Column:
     return F.coalesce(*[F.when(at < F.col(f"t{i + 1}"), F.lit(i + 1)) for i in range(len(SHARES))])
 
 
-def _chosen(docs: DataFrame, weights: DataFrame | None, percent: int) -> DataFrame:
-    narrow = _narrow(docs)
+def _chosen(docs: DataFrame, weights: DataFrame | None, percent: int, tokens: Callable[[Column], Column]) -> DataFrame:
+    narrow = _narrow(docs, tokens)
     levels = _levels(narrow, weights, percent)
     return narrow.join(levels, narrow.source.eqNullSafe(levels.of)).withColumn("level", _level(F.col("place"))).where("level IS NOT NULL")
 
 
-def keep_mixed(docs: DataFrame, weights: DataFrame | None = None, percent: int = 100) -> DataFrame:
+def keep_mixed(docs: DataFrame, weights: DataFrame | None = None, percent: int = 100, tokens: Callable[[Column], Column] = n_tokens) -> DataFrame:
     """The rows of ``docs`` that mixed() chooses; all columns as they were. The filter compares hashes with the source's
     threshold; the thresholds are one row for each source, sent to all when small, which Spark checks."""
-    levels = _levels(_narrow(docs), weights, percent)
+    levels = _levels(_narrow(docs, tokens), weights, percent)
     rows = packed(docs).withColumn("at", place("row.doc_id"))
     return unpacked(rows.join(levels, F.col("row.source").eqNullSafe(F.col("of"))).where(_level(F.col("at")).isNotNull()))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal weights for all sources of documents, budgets of 25, 50 and 100 % of all tokens."""
-    return mixed(table(spark, sf_dir, "documents"))
+    """Equal weights for all sources of documents, budgets of 25, 50 and 100 % of all tokens; words count as tokens here, which SQL can count, too."""
+    return mixed(table(spark, sf_dir, "documents"), tokens=n_words)
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split_regex(text, '[ \t\r\n]+')) END AS BIGINT) AS tokens,
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\r\n]+')), 0) AS BIGINT) AS tokens,
   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
 t AS (SELECT source, sum(tokens) AS have FROM d GROUP BY source),
 b AS (SELECT source, CAST((SELECT sum(have) FROM t) AS HUGEINT) AS all_have, (SELECT count(*) FROM t) AS n FROM t),
