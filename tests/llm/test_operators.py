@@ -309,10 +309,10 @@ def test_hot_text_is_cut_before_the_shuffle(spark):
 # 3 Mixing.
 
 
-def brute_mix(rows, weights=None, percent=100):
+def brute_mix(rows, weights=None, percent=100, tokens=lambda t: len(re.findall(r"[^ \t\r\n]+", t))):
     import hashlib
 
-    d = [(i, s, 0 if t is None else len(re.split(r"[ \t\r\n]+", t)), int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)) for i, t, s in rows]
+    d = [(i, s, tokens(t or ""), int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)) for i, t, s in rows]
     total = sum(x[2] for x in d)
     sources = {x[1] for x in d}
     w = {s: 1 for s in sources} if weights is None else {s: weights.get(s, 0) for s in sources}
@@ -333,8 +333,9 @@ def test_mixing_matches_brute_force(spark, weights, percent):
     rows = [(i, sentence(rng, rng.randrange(1, 60)), rng.choice("aaaaab") if i % 10 else "c") for i in range(500)] + [(7, "again and again", "a"), (None, "x y", "a"), (None, None, "b"), (900, "only", None)]
     w = None if weights is None else spark.createDataFrame(list(weights.items()), "source string, weight long")
     df = docs(spark, rows)
-    got = Counter(tuple(r) for r in mixing.mixed(df, w, percent).collect())
-    assert got == brute_mix(rows, weights, percent)
+    for count, tokens in ((mixing.n_words, lambda t: len(t.split())), (mixing.n_tokens, lambda t: len(bpe.load().encoding.encode_ordinary(t)))):
+        got = Counter(tuple(r) for r in mixing.mixed(df, w, percent, count).collect())
+        assert got == brute_mix(rows, weights, percent, tokens)
     kept = mixing.keep_mixed(df.withColumn("place", F.lit(1)).withColumn("t1", F.lit(2)), w, percent)
     assert Counter((r.doc_id, r.source) for r in kept.collect()) == Counter((i, s) for i, s, _, _ in got.elements())
 
@@ -342,7 +343,7 @@ def test_mixing_matches_brute_force(spark, weights, percent):
 def test_mixing_caps_a_hot_source(spark):
     # Half of all tokens in one source of 21: the largest level caps it, and the target share isn't reached.
     rows = [(i, "x", "hot") for i in range(420)] + [(1000 + i, "x", f"s{i % 20}") for i in range(420)]
-    got = mixing.mixed(docs(spark, rows)).groupBy("source").agg(F.sum("tokens").alias("n"), F.sum(F.when(F.col("level") == 1, F.col("tokens"))).alias("low")).collect()
+    got = mixing.mixed(docs(spark, rows), tokens=mixing.n_words).groupBy("source").agg(F.sum("tokens").alias("n"), F.sum(F.when(F.col("level") == 1, F.col("tokens"))).alias("low")).collect()
     share = {r.source: r.n / sum(x.n for x in got) for r in got}
     assert len(share) == 21 and round(share.pop("hot"), 3) == 0.087 and {round(v, 3) for v in share.values()} == {0.046}
     # Every source fills its part of the 25 % level, so the weights are met there.
@@ -492,27 +493,33 @@ def test_near_rows(spark, monkeypatch, small):
 # 5 URL filter.
 
 
-def test_digest_list(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("shard", [url_filter.SHARD_ENTRIES, 500])
+def test_digest_list(spark, tmp_path, monkeypatch, shard):
+    monkeypatch.setattr(url_filter, "SHARD_ENTRIES", shard)
     rng = random.Random(6)
     entries = [f"host{i}.example.com/p{rng.randrange(10**6)}" for i in range(3000)]
     path = str(tmp_path / "list")
     url_filter.build_list(spark.createDataFrame([(e,) for e in entries + entries[:50] + [None, ""]], "entry string"), path)
     d = url_filter.DigestList(path)
-    assert len(d.keys) == 3000 and (np.diff(d.keys.astype(object)) > 0).all()
+    parts = [d.shard(k) for k in range(1 << d.bits)]
+    assert (len(parts) > 4) == (shard < 3000)
+    keys = np.concatenate([p[0] for p in parts])
+    assert len(keys) == 3000 and (np.diff(keys.astype(object)) > 0).all()
     import xxhash
 
     probes = entries[::7] + ["nowhere", "host1.example.com"]
     keys = np.array([xxhash.xxh64(p.encode(), seed=42).intdigest() for p in probes], np.uint64)
     assert d.has(keys, pa.array(probes)).tolist() == [True] * (len(probes) - 2) + [False, False]
     # Equal digests with other strings.
-    d.keys = np.full(len(d.keys), 9, np.uint64)
+    at = next(k for k, p in enumerate(parts) if entries[5].encode() in p[2].tobytes())
+    d.bits, d.shards = 0, {0: (np.full(len(parts[at][0]), 9, np.uint64), *parts[at][1:])}
     assert d.has(np.array([9, 9], np.uint64), pa.array([entries[5], "other"])).tolist() == [True, False]
 
 
 def test_filter_urls(spark, tmp_path):
     path = str(tmp_path / "l")
     url_filter.build_list(spark.createDataFrame([("a.com/x?y=1",), ("bad.org",), ("shop.big.net",)], "entry string"), path)
-    cases = [("https://www.A.com/x?utm_source=q&y=1#top", "a.com/x?y=1"), ("http://a.com/x", None), ("http://bad.org:80/any/", "bad.org"), ("https://u@sub.deep.bad.org/z", "bad.org"), ("http://m.shop.big.net", "shop.big.net"), ("http://big.net/", None), (None, None), ("", None), ("notaurl", None)]
+    cases = [("https://www.A.com/x?utm_source=q&y=1#top", "a.com/x?y=1"), ("http://a.com/x", None), ("http://bad.org:80/any/", "bad.org"), ("https://u@sub.deep.bad.org/z", "bad.org"), ("http://m.shop.big.net", "shop.big.net"), ("http://big.net/", None), (None, None), ("", None), ("notaurl", None), ("http://a.com/" + "y" * 200_000, None), ("http://bad.org/" + "z/" * 100_000, "bad.org")]
     df = spark.createDataFrame([(u, "key") for u, _ in cases * 2], "url string, key string")
     got = url_filter.filter_urls(df, path)
     assert Counter((r.url, r.blocked_by) for r in got.collect()) == Counter(cases * 2)
@@ -543,6 +550,63 @@ def test_quality_held_out(spark):
     assert len(got) == 600 and len(wrong) <= 6
 
 
+def plain_statistics(text):
+    """The document statistics in plain Python, of a text in ASCII and Latin letters."""
+    import math
+
+    ws = brute_words(text)
+    data, n, some = text.encode(), len(ws), max(len(ws), 1)
+    size = max(len(data), 1)
+    letter = [c for c in data if chr(c).isascii() and chr(c).isalpha() or c >= 128]
+    symbols = [not (c >= 128 or chr(c).isalnum() or chr(c) in ".,;:?'\"-() \t\n\v\f\r") for c in data]
+    spans = [m.span() for m in re.finditer(r"[^\W_]+", text)]
+    spans = [(len(text[:a].encode()), len(text[:b].encode())) for a, b in spans]
+    low = [text.encode()[a:b].decode().lower() for a, b in spans]
+    assert low == ws
+    seen, seen2, again, again2 = Counter(low), Counter(zip(low, low[1:])), 0, 0
+    again, again2 = sum(v - 1 for v in seen.values()), sum(v - 1 for v in seen2.values())
+    lines = [tuple(brute_words(x)) for x in text.split("\n") if brute_words(x)]
+    root = math.sqrt
+    return [
+        math.log1p(n), math.log1p(sum(b - a for a, b in spans) / some), root(sum(c in range(65, 91) for c in data) / max(len(letter), 1)), root(sum(c in range(48, 58) for c in data) / size), root(sum(symbols) / size),
+        root(sum(chr(c) in ".,;:?'\"-()" for c in data) / size), root(sum(b < len(data) and symbols[b] for _, b in spans) / some), math.log1p(n / (text.count("\n") + 1)), root(again / some), root(again2 / some),
+        root(sum(v - 1 for v in Counter(lines).values()) / max(len(lines), 1)), root(max(seen.values(), default=0) / some), root(sum(b - a > 20 for a, b in spans) / some), root(sum(x and y for x, y in zip(symbols, symbols[1:])) / size),
+    ]
+
+
+def test_statistics_are_the_plain_ones():
+    rng = random.Random(18)
+    texts = ["", "One two\nONE two\n\nx", "$$$ !!! a$ b%% 12 34", "größe été Größe.", "word " * 30, "a" * 25 + " b"]
+    texts += ["".join(rng.choice(["Word ", "word ", "12 ", "$", "#!", ".\n", "\n", "é", "x" * 22, ", "]) for _ in range(rng.randrange(60))) for _ in range(100)]
+    got = quality.statistics(*raw(pa.array(texts)))
+    for t, x in zip(texts, got):
+        assert np.allclose(x, plain_statistics(t)), repr(t)
+
+
+def test_shrunken_covariances_and_their_factors():
+    rng = np.random.default_rng(4)
+    x = [rng.normal(0, 1, (150, 4)) @ rng.normal(0, 1, (4, 4)), rng.normal(2, 3, (80, 4))]
+    m = quality.model_of(np.array([150.0, 80.0]), np.stack([v.sum(0) for v in x]), np.stack([v.T @ v for v in x]), 0.2, 0.05)
+    cov = [np.array([[np.mean((v[:, a] - v[:, a].mean()) * (v[:, b] - v[:, b].mean())) for b in range(4)] for a in range(4)]) for v in x]
+    pooled = (150 * cov[0] + 80 * cov[1]) / 230
+    y, want = rng.normal(1, 2, (20, 4)), np.zeros((2, 20))
+    for k in (0, 1):
+        c = 0.8 * cov[k] + 0.2 * pooled
+        c = 0.95 * c + 0.05 * np.diag(np.diag(pooled))
+        assert np.allclose(np.linalg.inv(m.factor[k]) @ np.linalg.inv(m.factor[k]).T, c)
+        d = y - x[k].mean(0)
+        want[k] = np.log([150 / 230, 80 / 230][k]) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.array([v @ np.linalg.inv(c) @ v for v in d])
+    assert np.allclose(m.low_odds(y), want[0] - want[1])
+
+
+def test_labels_are_bounded(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(None, 1), (200, 7)], "doc_id long, quality int")
+    assert quality.known_labels(labels).count() == 100
+    monkeypatch.setattr(quality, "MOST_LABELS", 40)
+    one, two = (sorted(map(tuple, quality.known_labels(labels.repartition(n)).collect())) for n in (1, 5))
+    assert one == two and len(one) == 40
+
+
 def test_quality_density_is_the_gaussian():
     rng = np.random.default_rng(3)
     x0, x1 = rng.normal(0, 1, (200, 3)), rng.normal(1, 2, (300, 3))
@@ -588,6 +652,14 @@ def test_chat(spark):
     assert chat.prefix_examples(df.limit(0)).count() == 0
 
 
+def test_a_long_conversation(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} " + "x" * (300_000 if k == 4 else 20)) for k in range(400)]
+    got = {r.turn: r for r in chat.prefix_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == 200
+    shown = "".join(f"<|{r}|>\n{t}\n" for _, _, r, t in rows[:399])
+    assert got[399].prompt == shown + "<|assistant|>\n" and got[399].completion == rows[399][3] + "\n" and got[399].train_end - got[399].train_start == len(rows[399][3]) + 1
+
+
 # 8 Decontamination.
 
 

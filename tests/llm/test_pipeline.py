@@ -1,6 +1,5 @@
 """The pipeline's result against a brute-force version of every stage, on the smallest tables."""
 
-import re
 from collections import Counter
 
 import duckdb
@@ -8,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_groups, brute_mix, naive_tiles
+from tests.llm.test_operators import awkward, brute_groups, brute_mix, brute_words, empty, naive_tiles
 from tracewell.llm import bpe, decontam, quality, queries
 from tracewell.llm.textvec import raw
 
@@ -36,7 +35,7 @@ def brute(sf_dir):
     groups = brute_groups([r[:3] for r in rows])
     rows = [r for r in rows if groups.get(r[0], r[0]) == r[0]]
     yield "near_duplicates", rows
-    tok = lambda t: [w for w in re.findall(r"[0-9a-z\u0080-\u009f¡-῿⁀-\U0010ffff]+", t.lower())]
+    tok = brute_words
     items = [tok(t) for _, t in read("benchmark", "item_id, text")]
     grams = [{tuple(b[k : k + decontam.TILE]) for k in range(len(b) - decontam.TILE + 1)} for b in items]
 
@@ -47,10 +46,10 @@ def brute(sf_dir):
 
     rows = [r for r in rows if not leaks(r[1])]
     yield "decontamination", rows
-    kept = {i for i, *_ in brute_mix([r[:3] for r in rows])}
+    coder = bpe.load()
+    kept = {i for i, *_ in brute_mix([r[:3] for r in rows], tokens=lambda t: len(coder.encoding.encode_ordinary(t)))}
     rows = [r for r in rows if r[0] in kept]
     yield "mixing", rows
-    coder = bpe.load()
     yield "tokens", [(i, s, lang, coder.encoding.encode_ordinary(t)) for i, t, s, lang in rows]
 
 
@@ -77,6 +76,19 @@ def test_stages_decide_by_row(spark):
     assert Counter(tuple(r) for r in left.collect()) == Counter([(1, text), (2, "a clean text of the same id")])
 
 
+def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
+    for name, docs in (("awkward", awkward(spark, extra=True)), ("empty", empty(spark))):
+        columns, n = docs.columns, docs.count()
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            f(spark, docs, SF).write.parquet(str(tmp_path / f"{name}{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            assert docs.count() <= n, stage
+            assert docs.columns == (columns if stage != "tokens" else ["doc_id", "source", "lang", "n_tokens", "tokens"])
+            n = docs.count()
+        assert (n > 0) == (name == "awkward")
+        assert docs.where("tokens IS NULL OR n_tokens <> size(tokens) OR n_tokens = 0").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()

@@ -8,7 +8,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import local_path, need, new_path, open_fs, table
+from tracewell.llm.common import local_path, need, new_path, open_fs, table, written
+from tracewell.llm.textvec import raw
 
 #: Words whose pages' addresses go on the list, and the share of a host's pages that puts the host there.
 WORDS = ("idiot", "moron", "worthless", "clown")
@@ -31,75 +32,104 @@ def canonical(url: Column) -> Column:
     return F.concat(host(url), rest)
 
 
+#: Entries of one shard of a digest array.
+SHARD_ENTRIES = 4_000_000
+_FILES = (("keys", np.uint64), ("starts", np.int64), ("strings", np.uint8))
+
+
 def build_list(entries: DataFrame, path: str) -> str:
-    """Write the distinct strings of the column ``entry`` as a digest array under ``path``: keys.u64, sorted XXH64 digests (Spark's
-    xxhash64: seed 42); starts.i64, where each string begins in strings.bin, and its end.
+    """Write the distinct strings of the column ``entry`` as a digest array under ``path``, sorted by XXH64 digest (Spark's xxhash64: seed 42).
 
-    One task streams the sorted strings to the files, so neither the driver nor an executor holds the list. Null and empty entries are left out.
+    The array lies in shards by the digests' leading bits, so shards in a row are sorted, too, and each is filled by one
+    task that streams its strings: NNNNN.keys, digests; NNNNN.starts, where each string begins in NNNNN.strings, and the end. Neither
+    the driver nor an executor holds the list. Null and empty entries are left out; without any the array is empty.
     """
     need(entries, "entry")
-    unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
-    rows = entries.select("entry").where("entry <> ''").distinct().withColumn("key", F.xxhash64("entry"))
+    rows = written(entries.select("entry").where("entry <> ''").distinct().withColumn("key", F.xxhash64("entry")), "entries")
+    bits = max(0, (rows.count() - 1) // SHARD_ENTRIES).bit_length()
+    shard = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
 
     def save(batches):
         fs, folder = open_fs(path)
-        fs.create_dir(folder, recursive=True)
-        mark = TaskContext.get().taskAttemptId()
-        names = ("keys.u64", "starts.i64", "strings.bin")
-        outs = [fs.open_output_stream(f"{folder}/.{n}.{mark}") for n in names]
-        at = 0
+        attempt, now, outs, at = TaskContext.get().taskAttemptId(), -1, [], 0
+
+        def close():
+            outs[1].write(np.array([at], np.int64).tobytes())
+            for (name, _), out in zip(_FILES, outs):
+                out.close()
+                fs.move(f"{folder}/.{now:05d}.{name}.{attempt}", f"{folder}/{now:05d}.{name}")
+
         for batch in batches:
-            texts = [s.encode() for s in batch.column(0).to_pylist()]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            outs[0].write(batch.column(1).to_numpy().astype(np.int64).tobytes())
-            outs[1].write((at + np.cumsum(sizes) - sizes).tobytes())
-            outs[2].write(b"".join(texts))
-            at += int(sizes.sum())
-        outs[1].write(np.array([at], np.int64).tobytes())
-        for n, out in zip(names, outs):
-            out.close()
-            fs.move(f"{folder}/.{n}.{mark}", f"{folder}/{n}")
-        yield pa.record_batch([pa.array([at])], names=["bytes"])
-
-    if not rows.repartition(1).sortWithinPartitions(unsigned, "entry").mapInArrow(save, "bytes long").collect():
-        # No entry, so perhaps no task: an empty list.
-        fs, folder = open_fs(path)
-        fs.create_dir(folder, recursive=True)
-        for name, content in (("keys.u64", b""), ("starts.i64", bytes(8)), ("strings.bin", b"")):
-            with fs.open_output_stream(f"{folder}/{name}") as out:
-                out.write(content)
+            own = batch.column(2).to_numpy()
+            for k in np.unique(own).tolist():
+                if k != now:
+                    if outs:
+                        close()
+                    now, at = k, 0
+                    outs = [fs.open_output_stream(f"{folder}/.{k:05d}.{name}.{attempt}") for name, _ in _FILES]
+                part = batch.filter(pa.array(own == k))
+                data, off = raw(part.column(0))
+                outs[0].write(part.column(1).to_numpy().astype(np.int64).tobytes())
+                outs[1].write((at + off[:-1]).tobytes())
+                outs[2].write(data.tobytes())
+                at += len(data)
+        if outs:
+            close()
+        yield pa.record_batch([pa.array([now])], names=["shard"])
+
+    fs, folder = open_fs(path)
+    fs.create_dir(folder, recursive=True)
+    unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
+    rows.select("entry", "key", shard.alias("shard")).repartition(1 << bits, "shard").sortWithinPartitions("shard", unsigned, "entry").mapInArrow(save, "shard long").count()
+    with fs.open_output_stream(f"{folder}/bits") as out:
+        out.write(str(bits).encode())
     return path
 
 
 class DigestList:
-    """The three files, mapped into memory where the folder is mounted, so processes share one copy of the pages they touch; read whole from an object store."""
+    """The array's shards, each mapped into memory when first probed where the folder is mounted, so processes share one copy of
+    the pages they touch; read whole from an object store."""
 
     def __init__(self, path: str):
-        def load(name, dtype):
-            if (local := local_path(path)) is not None:
-                import os
-
-                return np.memmap(f"{local}/{name}", dtype, "r") if os.path.getsize(f"{local}/{name}") else np.zeros(0, dtype)
-            fs, folder = open_fs(path)
-            with fs.open_input_stream(f"{folder}/{name}") as f:
-                return np.frombuffer(f.read(), dtype)
-
-        self.keys, self.starts, self.strings = load("keys.u64", np.uint64), load("starts.i64", np.int64), load("strings.bin", np.uint8)
+        self.path, self.shards = path, {}
+        fs, folder = open_fs(path)
+        with fs.open_input_stream(f"{folder}/bits") as f:
+            self.bits = int(f.read())
+
+    def shard(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(keys, starts, strings) of a shard; None for one without entries."""
+        if k not in self.shards:
+            from pyarrow.fs import FileType
+
+            fs, folder = open_fs(self.path)
+            if fs.get_file_info(f"{folder}/{k:05d}.keys").type == FileType.NotFound:
+                self.shards[k] = None
+            elif local_path(self.path) is not None:
+                self.shards[k] = tuple(np.memmap(f"{folder}/{k:05d}.{name}", kind, "r") for name, kind in _FILES)
+            else:
+                self.shards[k] = tuple(np.frombuffer(fs.open_input_stream(f"{folder}/{k:05d}.{name}").read(), kind) for name, kind in _FILES)
+        return self.shards[k]
 
     def has(self, keys: np.ndarray, texts: pa.Array) -> np.ndarray:
         """Which texts are on the list: digests by binary search, then the strings stored at an equal digest, against collisions."""
-        at = np.searchsorted(self.keys, keys)
         out = np.zeros(len(keys), bool)
-        equal = np.zeros(len(keys), bool)
-        near = at < len(self.keys)
-        equal[near] = self.keys[at[near]] == keys[near]
-        for i in np.flatnonzero(equal).tolist():
-            text, k = texts[i].as_py().encode(), int(at[i])
-            while k < len(self.keys) and self.keys[k] == keys[i]:
-                if self.strings[self.starts[k] : self.starts[k + 1]].tobytes() == text:
-                    out[i] = True
-                    break
-                k += 1
+        where = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        for s in np.unique(where).tolist():
+            if (found := self.shard(s)) is None:
+                continue
+            own, starts, strings = found
+            mine = np.flatnonzero(where == s)
+            at = np.searchsorted(own, keys[mine])
+            near = at < len(own)
+            equal = np.zeros(len(mine), bool)
+            equal[near] = own[at[near]] == keys[mine[near]]
+            for i in np.flatnonzero(equal).tolist():
+                text, k = texts[int(mine[i])].as_py().encode(), int(at[i])
+                while k < len(own) and own[k] == keys[mine[i]]:
+                    if strings[starts[k] : starts[k + 1]].tobytes() == text:
+                        out[mine[i]] = True
+                        break
+                    k += 1
         return out
 
 
