@@ -233,8 +233,9 @@ def test_routing_and_writing(spark, tmp_path):
     assert not routing.write_schema_file(path, docs[path], str(tmp_path))
     with open(tmp_path / path, "a") as x:
         x.write("extra: {a: 1}\n")
-    assert routing.write_schema_file(path, {"version": 2, "models": []}, str(tmp_path), dry_run=True) and "stg_orders" in (tmp_path / path).read_text()
-    assert routing.write_schema_file(path, {"version": 2, "models": []}, str(tmp_path)) and yaml.safe_load((tmp_path / path).read_text()) == {"version": 2, "models": [], "extra": {"a": 1}}
+    assert not routing.write_schema_file(path, {"version": 2, "models": []}, str(tmp_path))
+    assert routing.write_schema_file(path, {"version": 2, "models": []}, str(tmp_path), dry_run=True, replace=True) and "stg_orders" in (tmp_path / path).read_text()
+    assert routing.write_schema_file(path, {"version": 2, "models": []}, str(tmp_path), replace=True) and yaml.safe_load((tmp_path / path).read_text()) == {"version": 2, "models": [], "extra": {"a": 1}}
     with pytest.raises(ValueError):
         routing.write_schema_file("../x.yml", {}, str(tmp_path))
     changed, errors = routing.write_all({"a.yml": {"version": 2}, "../b.yml": {}}, str(tmp_path))
@@ -246,6 +247,74 @@ def test_routing_and_writing(spark, tmp_path):
     assert routing.match_source(s, "a", "t")["name"] == "a" and routing.match_source(s, "c", "t") is None and routing.match_source(s, "c", "t", "y")["name"] == "b"
 
 
+FULL = """version: 2
+models:
+- name: stg_orders
+  access: public
+  description: Written by hand
+  config: {materialized: view}
+  tests: [{unique_rows: {}}]
+  columns:
+  - {name: ORDER_ID, quote: true, tests: [unique], meta: {mine: 1, desc-owner: upstream}, constraints: [{type: not_null}]}
+  - {name: gone, tests: [unique]}
+- name: other_model
+  columns: [{name: x}]
+- name: versioned
+  latest_version: 2
+  versions:
+  - {v: 1, config: {alias: old}}
+  - {v: 2, columns: [{name: id, tests: [not_null]}]}
+unit_tests: [{name: t}]
+macros: [{name: m}]
+"""
+
+
+def test_schema_files_lose_nothing(tmp_path):
+    path = tmp_path / "models" / "schema.yml"
+    path.parent.mkdir()
+    path.write_text(FULL)
+    new = {"version": 2, "models": [{"name": "stg_orders", "description": "Generated", "columns": [{"name": "status", "data_type": "string"}, {"name": "order_id", "description": "Key", "tags": ["k"], "meta": {"a": "b"}}]}, {"name": "versioned", "versions": [{"v": 2, "columns": [{"name": "id", "data_type": "int"}]}, {"v": 3, "columns": [{"name": "id"}]}]}]}
+    assert routing.write_schema_file("models/schema.yml", new, str(tmp_path))
+    doc, old = yaml.safe_load(path.read_text()), yaml.safe_load(FULL)
+    one, had = doc["models"][0], old["models"][0]
+    assert {k: v for k, v in one.items() if k != "columns"} == {k: v for k, v in had.items() if k != "columns"}
+    assert one["columns"] == [{"name": "status", "data_type": "string"}, {"name": "order_id", "quote": True, "tests": ["unique"], "meta": {"mine": 1, "a": "b"}, "constraints": [{"type": "not_null"}], "description": "Key", "tags": ["k"]}]
+    assert doc["models"][1] == old["models"][1] and doc["unit_tests"] == old["unit_tests"] and doc["macros"] == old["macros"]
+    assert doc["models"][2] == {"name": "versioned", "latest_version": 2, "versions": [{"v": 1, "config": {"alias": "old"}}, {"v": 2, "columns": [{"name": "id", "tests": ["not_null"], "data_type": "int"}]}, {"v": 3, "columns": [{"name": "id"}]}]}
+    assert not routing.write_schema_file("models/schema.yml", new, str(tmp_path))
+
+
+def test_columns_tags_and_meta_stand_in_one_place():
+    sync = routing.sync_column
+    assert sync({"name": "a", "tags": ["x"], "meta": {"m": 1}}, {"name": "a", "config": {"tags": ["y"], "meta": {"n": 2}}}) == {"name": "a", "config": {"tags": ["x", "y"], "meta": {"m": 1, "n": 2}}}
+    assert sync({"name": "a", "config": {"tags": ["x"], "quote": 1}}, {"name": "a", "tags": ["y"]}) == {"name": "a", "config": {"quote": 1}, "tags": ["x", "y"]}
+    assert sync({"name": "a", "config": {"tags": ["x"]}}, {"name": "a"}) == {"name": "a", "config": {"tags": ["x"]}}
+    assert sync({"name": "a", "description": "{{ doc('a') }}"}, {"name": "a", "description": "Text"}, True)["description"] == "{{ doc('a') }}"
+    assert routing.version_of("model.p.m.v2", "m") == "2" and routing.version_of("model.p.v2", "v2") is None and routing.version_of("source.p.m.v2", "m") is None
+    twice = routing.sync_doc({"models": [{"name": "a", "x": 1}, {"name": "a", "x": 2, "y": 3}]}, {"models": [{"name": "a", "columns": []}]})
+    assert twice == {"models": [{"name": "a", "x": 1, "y": 3}]}
+
+
+def test_plans_move_whole_entries(spark, tmp_path):
+    nodes = spark.createDataFrame([(u, n, n, k, "p", "d", "s", "sql", None, f"models/{n}.sql", "p://models/all.yml", ["p", n], "", [], {}, {}, None, None, [], "raw" if k == "source" else None, i) for i, (u, n, k) in enumerate([("model.p.a", "a", "model"), ("seed.p.b", "b", "seed"), ("source.p.raw.t", "t", "source"), ("model.p.stays", "stays", "model")])], schemas.NODES)
+    columns = spark.createDataFrame([("model.p.a", "a", "id", 0, "int", "Key", [], {}, {})], schemas.COLUMNS)
+    (tmp_path / "models").mkdir()
+    everything = {"version": 2, "models": [{"name": "a", "config": {"x": 1}, "columns": [{"name": "id", "tests": ["unique"]}]}, {"name": "stays"}], "seeds": [{"name": "b", "tests": ["odd"]}], "sources": [{"name": "raw", "loader": "l", "tables": [{"name": "t", "tests": ["fresh"]}, {"name": "u"}]}]}
+    (tmp_path / "models" / "all.yml").write_text(yaml.safe_dump(everything))
+    moved = nodes.where("name <> 'stays'")
+    paths = routing.target_paths(moved, moved.select("unique_id", F.lit("{node.fqn.1}_{node.resource_type}").alias("template")))
+    docs = routing.schema_docs(paths.select("unique_id", "target"), moved, columns)
+    plan = routing.restructure_plan(paths)
+    trial = routing.apply_plan(docs, plan, nodes, str(tmp_path), dry_run=True)
+    done = routing.apply_plan(docs, plan, nodes, str(tmp_path))
+    assert trial == done == {"written": ["models/a_model.yml", "models/b_seed.yml", "models/t_source.yml"], "cleaned": ["models/all.yml"], "deleted": []}
+    read = lambda n: yaml.safe_load((tmp_path / "models" / n).read_text())
+    assert read("a_model.yml")["models"] == [{"name": "a", "config": {"x": 1}, "columns": [{"name": "id", "tests": ["unique"], "description": "Key", "data_type": "int"}]}]
+    assert read("b_seed.yml")["seeds"] == [{"name": "b", "tests": ["odd"]}]
+    assert read("t_source.yml")["sources"] == [{"name": "raw", "loader": "l", "tables": [{"name": "t", "tests": ["fresh"]}], "schema": "s"}]
+    assert read("all.yml") == {"version": 2, "models": [{"name": "stays"}], "seeds": [], "sources": [{"name": "raw", "loader": "l", "tables": [{"name": "u"}]}]}
+
+
 def test_display(spark):
     f = Q.facts(spark)
     v, e = graph.display_graph(f.edges, f.project.exposures, f.project.nodes)
