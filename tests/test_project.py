@@ -3,6 +3,7 @@
 import json
 
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from tests.test_operators import MANIFEST
@@ -57,6 +58,107 @@ def test_refactor(spark):
     assert graph.waves(f.depth).count() == 5
 
 
+@pytest.fixture()
+def shop(spark, tmp_path):
+    """A project on disk with schema files, a source table in the session's catalog, and a model that reads it."""
+    manifest = {
+        "metadata": {"project_name": "p"},
+        "nodes": {
+            "model.p.people": {"name": "people", "resource_type": "model", "package_name": "p", "schema": "s", "original_file_path": "models/stage/people.sql", "patch_path": "p://models/all.yml", "fqn": ["p", "stage", "people"], "compiled_code": "select id, label as title, upper(label) as loud from crew", "depends_on": {"nodes": ["source.p.ship.crew"]}, "columns": {"id": {"name": "id"}, "gone": {"name": "gone"}}},
+            "model.p.loud": {"name": "loud", "resource_type": "model", "package_name": "p", "schema": "s", "original_file_path": "models/mart/loud.sql", "fqn": ["p", "mart", "loud"], "compiled_code": "select id, loud from people", "depends_on": {"nodes": ["model.p.people"]}, "columns": {}, "meta": {"tracewell-annotate-origins": "always"}},
+        },
+        "sources": {"source.p.ship.crew": {"name": "crew", "source_name": "ship", "package_name": "p", "schema": "nowhere", "resource_type": "source", "patch_path": "p://models/all.yml", "original_file_path": "models/all.yml", "fqn": ["p", "ship", "crew"], "columns": {"id": {"name": "id", "description": "Number of the sailor", "tags": ["key"], "meta": {"owner": "mate"}}, "label": {"name": "label", "description": "Name of the sailor"}}}},
+    }
+    for folder in ("target", "models/stage", "models/mart"):
+        (tmp_path / folder).mkdir(parents=True)
+    (tmp_path / "project.yml").write_text("name: p\n")
+    (tmp_path / "target" / "manifest.json").write_text(json.dumps(manifest))
+    (tmp_path / "models" / "all.yml").write_text(
+        "version: 2\nmodels:\n- name: people\n  access: public\n  columns:\n  - {name: id, tests: [unique], quote: true}\n  - {name: gone}\n- name: by_hand\n  tests: [odd]\n"
+        "sources:\n- name: ship\n  loader: rowboat\n  tables:\n  - {name: crew, columns: [{name: id, description: Number of the sailor}]}\nmacros: [{name: m}]\n"
+    )
+    spark.sql("select 1 as id, 'x' as label, 2.5 as depth").createOrReplaceTempView("crew")
+    yield tmp_path
+    spark.catalog.dropTempView("crew")
+
+
+def files_of(root):
+    return {str(f.relative_to(root)): yaml.safe_load(f.read_text()) for f in sorted((root / "models").rglob("*.yml"))}
+
+
+def test_refactor_writes_files_once(spark, shop, capsys):
+    run = ["--project", str(shop), "yaml", "refactor", "--template", "_{model}"]
+    assert main(run) == 0 and "written: models/stage/_people.yml" in capsys.readouterr().out
+    got = files_of(shop)
+    people = got["models/stage/_people.yml"]["models"][0]
+    assert people["access"] == "public" and [c["name"] for c in people["columns"]] == ["id", "title", "loud"]
+    assert people["columns"][0] == {"name": "id", "tests": ["unique"], "quote": True, "description": "Number of the sailor", "tags": ["key"], "meta": {"owner": "mate", "desc-owner": "upstream"}}
+    assert "Renamed from: CREW.LABEL" in people["columns"][1]["description"]
+    loud = got["models/mart/_loud.yml"]["models"][0]["columns"]
+    assert [c["name"] for c in loud] == ["id", "loud"] and loud[0]["description"].startswith("Number of the sailor") and "Derived from: CREW.ID" in loud[0]["description"]
+    assert got["models/all.yml"] == {"version": 2, "models": [{"name": "by_hand", "tests": ["odd"]}], "sources": [], "macros": [{"name": "m"}]}
+    crew = got["models/_crew.yml"]["sources"][0]
+    assert crew["loader"] == "rowboat" and [(c["name"], c["data_type"]) for c in crew["tables"][0]["columns"]] == [("id", "int"), ("label", "string"), ("depth", "decimal(2,1)")]
+    assert main([*run, "--check"]) == 0 and files_of(shop) == got
+
+
+def test_document_and_organize(spark, shop):
+    assert main(["--project", str(shop), "yaml", "organize", "--template", "_{model}", "--fqn", "stage.people"]) == 0
+    got = files_of(shop)
+    assert got["models/stage/_people.yml"] == {"models": [{"name": "people", "access": "public", "columns": [{"name": "id", "tests": ["unique"], "quote": True}, {"name": "gone"}]}]}
+    assert [m["name"] for m in got["models/all.yml"]["models"]] == ["by_hand"]
+    assert main(["--project", str(shop), "yaml", "document", "--select", "loud", "--check"]) == 1 and "models/mart/schema.yml" not in files_of(shop)
+    assert main(["--project", str(shop), "yaml", "document", "--select", "loud"]) == 0
+    doc = files_of(shop)["models/mart/schema.yml"]["models"][0]
+    assert [c["name"] for c in doc["columns"]] == ["id", "loud"]
+    with pytest.raises(Exception, match="no path template"):
+        main(["--project", str(shop), "yaml", "organize"])
+
+
+def test_bootstrap_sources(spark, shop):
+    nodes = project.load(spark, str(shop)).nodes
+    spark.sql("CREATE DATABASE IF NOT EXISTS hold")
+    spark.range(2).write.mode("overwrite").saveAsTable("hold.barrels")
+    try:
+        assert workflows.bootstrap_sources(spark, nodes, str(shop), {"ship": "hold"}) == ["models/sources/ship.yml"]
+        doc = files_of(shop)["models/sources/ship.yml"]["sources"][0]
+        assert doc["schema"] == "hold" and {"name": "barrels", "columns": [{"name": "id", "data_type": "bigint"}]} in doc["tables"]
+        assert workflows.bootstrap_sources(spark, nodes, str(shop), {"ship": "hold"}) == []
+    finally:
+        spark.sql("DROP DATABASE hold CASCADE")
+
+
+def test_settings_from_every_place(spark, tmp_path):
+    node = dict(unique_id="model.p.a", name="a", meta={"tracewell-skip-add-tags": "node", "other": "x", "tracewell-options": '{"sort-by": "opt"}'}, config={"tracewell_output_to_lower": "extra", "output-to-upper": "ignored", "meta": '{"skip_merge_meta": "cm"}', "unrendered": '{"tracewell-annotate-origins": "un"}'})
+    nodes = spark.createDataFrame([(node["unique_id"], node["name"], node["meta"], node["config"])], "unique_id string, name string, meta map<string,string>, config map<string,string>")
+    columns = spark.createDataFrame([("model.p.a", "c", {"skip-add-tags": "col", "tracewell-options": '{"desc-owner": "opt"}'}, {"sort_by": "ccm"})], "unique_id string, column string, meta map<string,string>, config_meta map<string,string>")
+    (tmp_path / "s.yml").write_text("tracewell-prefer-yaml-values: true\nskip-add-columns: false\n")
+    extra = settings.read_supplementary(str(tmp_path / "s.yml"))
+    assert settings.read_supplementary(str(tmp_path / "none.yml")) == {}
+    found = settings.collect(nodes, columns, {"skip_add_columns": True}, extra, {"annotate-origins": "fall"})
+    got = {r.key: (r.value, r.source_rank) for r in settings.resolve(found, columns, extras=True).collect()}
+    assert got == {"skip-add-tags": ("col", 1), "desc-owner": ("opt", 2), "sort-by": ("ccm", 3), "output-to-lower": ("extra", 5), "skip-merge-meta": ("cm", 6), "annotate-origins": ("un", 7), "skip-add-columns": ("true", 9), "prefer-yaml-values": ("true", 10)}
+    assert "prefer-yaml-values" not in {r.key for r in settings.resolve(found, columns).collect()}
+
+
+def test_more_commands(spark, shop, capsys):
+    at = ["--project", str(shop)]
+    assert main([*at, "sql", "compile", "select * from {{ source('ship', 'crew') }}"]) == 0 and "select * from crew" in capsys.readouterr().out
+    assert main([*at, "sql", "run", "select label from {{ source('ship', 'crew') }}"]) == 0 and "label" in capsys.readouterr().out
+    assert main([*at, "--format", "markdown", "diff", "schema"]) in (0, 1) and "| crew | added | depth |" in capsys.readouterr().out
+    main([*at, "diff", "schema", "--migration", "duckdb"])
+    assert 'ALTER TABLE "crew" ADD COLUMN "depth"' in capsys.readouterr().out
+    assert main([*at, "--format", "json", "test", "suggest"]) == 0
+    capsys.readouterr()
+    assert main(["generate", "sources", "ship", "--include", "cre*"]) == 0 and "- name: crew" in capsys.readouterr().out
+    assert main(["generate", "staging", "ship", "--include", "crew"]) == 0
+    out = capsys.readouterr().out
+    assert "{{ source('ship', 'crew') }}" in out and "name: stg_ship__crew" in out
+    assert main([*at, "lint", "model", "people", "--rules", "select-star"]) == 0 and main([*at, "lint", "model", "nobody"]) == 1
+    (shop / "q.sql").write_text("select * from t")
+    assert main(["--format", "yaml", "lint", "file", str(shop / "q.sql"), "--rules", "select-star"]) == 1 and "rule_id: select-star" in capsys.readouterr().out
+
+
 def test_command_line(spark, root, capsys):
     assert main(["--project", str(root), "lineage", "orders.id"]) == 0 and main(["--project", str(root), "impact"]) == 0
     assert main(["--project", str(root), "dot"]) == 0 and "digraph" in capsys.readouterr().out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,25 @@ def as_markdown(df: DataFrame) -> str:
 
 def as_json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("json"))
+
+
+FORMS = ("table", "text", "json", "markdown", "yaml")
+
+
+def rendered(df: DataFrame, form: str = "table") -> str:
+    """Every row of a report: a table, tab-separated text, a line of JSON for each row, Markdown, or YAML."""
+    if form == "markdown":
+        return as_markdown(df)
+    if form == "json":
+        return "\n".join(r.json for r in as_json_lines(df).collect())
+    rows = df.collect()
+    if form == "yaml":
+        return yaml.safe_dump([r.asDict(recursive=True) for r in rows], sort_keys=False, allow_unicode=True).rstrip("\n") if rows else "[]"
+    cells = [df.columns, *([("" if v is None else str(v)) for v in r] for r in rows)]
+    if form == "text":
+        return "\n".join("\t".join(x) for x in cells)
+    if form != "table":
+        raise ValueError(f"a report is one of {FORMS}, not {form!r}")
+    sizes = [max(len(x[i]) for x in cells) for i in range(len(df.columns))]
+    lines = [" | ".join(v.ljust(n) for v, n in zip(x, sizes)).rstrip() for x in cells]
+    return "\n".join([lines[0], "-+-".join("-" * n for n in sizes), *lines[1:]])

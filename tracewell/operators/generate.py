@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import collapse
 
 
+def matches(name: str, include: Iterable[str] = ("*",), exclude: Iterable[str] = ()) -> bool:
+    return any(fnmatch.fnmatch(name, p) for p in include) and not any(fnmatch.fnmatch(name, p) for p in exclude)
+
+
+def as_yaml(doc: dict) -> str:
+    return yaml.safe_dump(doc, sort_keys=False, allow_unicode=True)
+
+
 def source_definition(name: str, introspected: DataFrame, include: Iterable[str] = ("*",), exclude: Iterable[str] = ()) -> dict:
     """A source of a schema file from introspected columns, tables by glob."""
     tables: dict[str, list] = {}
     for r in introspected.orderBy("relation", "index").collect():
-        if any(fnmatch.fnmatch(r.relation, p) for p in include) and not any(fnmatch.fnmatch(r.relation, p) for p in exclude):
+        if matches(r.relation, include, exclude):
             tables.setdefault(r.relation, []).append({"name": r.column.lower(), "data_type": r.data_type, **({"description": r.comment} if r.comment else {})})
     return {"version": 2, "sources": [{"name": name, "tables": [{"name": t, "columns": c} for t, c in tables.items()]}]}
 
@@ -29,6 +37,15 @@ def staging_sql(source: str, introspected: DataFrame) -> DataFrame:
     return introspected.groupBy("relation").agg(F.concat(F.lit("select\n"), lines, F.lit(f"\nfrom {{{{ source('{source}', '"), F.first("relation"), F.lit("') }}")).alias("sql"))
 
 
+def staging_yaml(source: str, introspected: DataFrame, prefix: str = "stg") -> dict[str, str]:
+    """Schema entries beside staging_sql(): by relation, a model named prefix_source__relation with its columns in snake case and their types."""
+    snake = F.lower(F.regexp_replace(F.regexp_replace("column", r"([a-z0-9])([A-Z])", "$1_$2"), r"[^A-Za-z0-9]+", "_"))
+    found: dict[str, list[dict]] = {}
+    for r in introspected.orderBy("relation", "index").select("relation", snake.alias("name"), "data_type", "comment").collect():
+        found.setdefault(r.relation, []).append({"name": r.name, "description": r.comment, "data_type": r.data_type})
+    return {relation: render_model_yaml(f"{prefix}_{source}__{relation}", columns, f"Staged {relation} of {source}") for relation, columns in found.items()}
+
+
 class DescriptionFetcher(Protocol):
     """Anything that gives texts for many names in one call."""
 

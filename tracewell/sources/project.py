@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.operators.sql import Renderer, is_templated
 from tracewell.sources.files import EngineConfig, read_glossary
-from tracewell.sources.manifest import Manifest
+from tracewell.sources.manifest import Manifest, is_newer_engine
 
 MARKERS = ("project.yml", "dbt_project.yml")
 MODES = ("manifest", "target_dir", "auto_compile")
@@ -36,6 +36,13 @@ class LoadedProject:
     exposures: DataFrame
     tests: DataFrame
     glossary: DataFrame
+    nested: bool = False
+
+
+def relation_names(manifest: Manifest) -> dict[str, str]:
+    """What a template's references stand for: nodes by name, sources by source and table name."""
+    names = {n.get("name"): n.get("alias") or n.get("name") for n in manifest.data.get("nodes", {}).values()}
+    return names | {f"{s.get('source_name')}.{s.get('name')}": s.get("identifier") or s.get("name") for s in manifest.data.get("sources", {}).values()}
 
 
 def compiled_nodes(spark: SparkSession, manifest: Manifest, mode: str = "manifest", variables: dict | None = None) -> DataFrame:
@@ -48,9 +55,7 @@ def compiled_nodes(spark: SparkSession, manifest: Manifest, mode: str = "manifes
     nodes = manifest.nodes(spark, from_disk=mode == "target_dir")
     if mode != "auto_compile":
         return nodes
-    names = {n.get("name"): n.get("alias") or n.get("name") for n in manifest.data.get("nodes", {}).values()}
-    names |= {f"{s.get('source_name')}.{s.get('name')}": s.get("identifier") or s.get("name") for s in manifest.data.get("sources", {}).values()}
-    renderer = Renderer(names, variables)
+    renderer = Renderer(relation_names(manifest), variables)
     rows = []
     for r in nodes.collect():
         sql = r.compiled_sql
@@ -69,4 +74,4 @@ def load(spark: SparkSession, root: str | None = None, mode: str = "manifest", t
     m = Manifest.load(os.path.join(root, target, "manifest.json"))
     glossary = os.path.join(root, config.glossary) if config.glossary else ""
     words = read_glossary(spark, glossary) if glossary and os.path.exists(glossary) else spark.createDataFrame([], "column string, description string")
-    return LoadedProject(root, config, m, compiled_nodes(spark, m, mode), m.columns(spark), m.exposures(spark), m.tests(spark), words)
+    return LoadedProject(root, config, m, compiled_nodes(spark, m, mode), m.columns(spark), m.exposures(spark), m.tests(spark), words, is_newer_engine(os.path.join(root, target, "manifest.json")))
