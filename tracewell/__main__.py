@@ -114,7 +114,8 @@ def main(argv: list[str] | None = None) -> int:
         return int(not health.passes(nodes, a.min_coverage))
     if a.command == "lint":
         linter = lint.Linter(spark, a.rules, a.disable_rules)
-        found = linter.lint_model(loaded.nodes, a.name) if a.what == "model" else linter.lint_project(loaded.nodes)
+        renderer = sql.Renderer(project.relation_names(loaded.manifest))
+        found = linter.lint_model(loaded.nodes, a.name, renderer) if a.what == "model" else linter.lint_project(loaded.nodes, renderer=renderer)
         show(found.orderBy("id", "line"))
         return int(not lint.passed(found))
     if a.command == "test":

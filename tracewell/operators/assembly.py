@@ -19,7 +19,7 @@ from tracewell.sources.manifest import last_by_lookup_name, upstream
 #: Template names that can look like tables; never a column's source.
 RESERVED = ("builtins", "config", "env_var", "flags", "model", "target", "this", "var")
 DIALECTS = {"sqlserver": "tsql"}
-CACHE_VERSION = 1
+CACHE_VERSION = 2
 
 
 def dialect_of(adapter: str) -> str:
@@ -33,19 +33,23 @@ class Parsed:
     failures: DataFrame
 
 
-def parse_models(spark: SparkSession, nodes: DataFrame, columns: DataFrame, placeholders: tuple[str, ...] = (), stop_at_ephemeral: bool = False, cache_dir: str | None = None, handlers: dict | None = None) -> Parsed:
+def parse_models(spark: SparkSession, nodes: DataFrame, columns: DataFrame, placeholders: tuple[str, ...] = (), stop_at_ephemeral: bool = False, cache_dir: str | None = None, handlers: dict | None = None, dialect: str | None = None) -> Parsed:
     """Lineage of every SQL model: one row for each output column, star sources apart, failures per model.
 
     Texts go through the session's own parser on the driver, so only (id, SQL) is collected; a model that doesn't parse is a row of
-    ``failures`` and doesn't stop the others. With ``cache_dir`` results are kept by the SHA-256 of the SQL; empty ones never.
+    ``failures`` and doesn't stop the others. ``dialect`` says whose SQL it is (see dialect_of). With ``cache_dir`` results are kept by the
+    SHA-256 of all they depend on: SQL, model, placeholders, known columns of tables named in it, handlers, dialect; empty ones never.
     """
     hints: dict[str, set[str]] = {}
     for r in columns.join(nodes.select("unique_id", "lookup_name"), "unique_id").groupBy("lookup_name").agg(F.collect_set("column").alias("c")).collect():
         hints[r.lookup_name] = set(r.c)
-    parser = LineageParser(PlanReader(spark), hints, stop_at_ephemeral, handlers)
+    parser = LineageParser(PlanReader(spark, dialect), hints, stop_at_ephemeral, handlers)
+    how = [list(placeholders), stop_at_ephemeral, dialect, sorted((k, getattr(f, "__module__", ""), getattr(f, "__qualname__", repr(f))) for k, f in (handlers or {}).items())]
     lineage, stars, failures = [], [], []
     for r in nodes.where("language = 'sql' AND compiled_sql IS NOT NULL AND resource_type IN ('model', 'snapshot', 'seed')").orderBy("ord").select("unique_id", "name", "compiled_sql").collect():
-        found = _cached(cache_dir, r.compiled_sql)
+        words = set(re.findall(r"\w+", r.compiled_sql.lower())) if cache_dir else set()
+        key = json.dumps([r.compiled_sql, r.name, how, [(t, sorted(c)) for t, c in sorted(hints.items()) if t in words or not re.fullmatch(r"\w+", t)]])
+        found = _cached(cache_dir, key)
         if found is None:
             try:
                 sql = apply_placeholders(r.compiled_sql, placeholders)
@@ -58,29 +62,37 @@ def parse_models(spark: SparkSession, nodes: DataFrame, columns: DataFrame, plac
                 "columns": [(None, c, sorted(x.sources), x.kind, x.text, list(x.branches)) for c, x in got.columns.items()] + [(name, c, sorted(x.sources), x.kind, x.text, list(x.branches)) for name, cols in got.ephemeral.items() for c, x in cols.items()],
                 "stars": [(t, sorted(e)) for t, e in got.star_sources],
             }
-            _keep(cache_dir, r.compiled_sql, found)
+            _keep(cache_dir, key, found)
         for of, c, sources, kind, text, branches in found["columns"]:
             lineage.append((r.unique_id, of or r.name, c, 0, sources, kind, text, branches))
         stars += [(r.unique_id, r.name, t, e) for t, e in found["stars"]]
     return Parsed(spark.createDataFrame(lineage, schemas.LINEAGE), spark.createDataFrame(stars, schemas.STARS), spark.createDataFrame(failures, schemas.FAILURES))
 
 
-def _cache_file(cache_dir: str, sql: str) -> str:
-    return os.path.join(cache_dir, f"v{CACHE_VERSION}-{hashlib.sha256(sql.encode()).hexdigest()}.json")
+def _cache_file(cache_dir: str, key: str) -> str:
+    return os.path.join(cache_dir, f"v{CACHE_VERSION}-{hashlib.sha256(key.encode()).hexdigest()}.json")
 
 
-def _cached(cache_dir: str | None, sql: str) -> dict | None:
-    if not cache_dir or not os.path.exists(path := _cache_file(cache_dir, sql)):
+def clear_cache(cache_dir: str) -> int:
+    """Remove a cache's files, of any version; how many there were."""
+    names = [n for n in os.listdir(cache_dir) if re.fullmatch(r"v\d+-[0-9a-f]{64}\.json", n)] if os.path.isdir(cache_dir) else []
+    for n in names:
+        os.remove(os.path.join(cache_dir, n))
+    return len(names)
+
+
+def _cached(cache_dir: str | None, key: str) -> dict | None:
+    if not cache_dir or not os.path.exists(path := _cache_file(cache_dir, key)):
         return None
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
 
-def _keep(cache_dir: str | None, sql: str, found: dict) -> None:
+def _keep(cache_dir: str | None, key: str, found: dict) -> None:
     if not cache_dir or not (found["columns"] or found["stars"]):
         return
     os.makedirs(cache_dir, exist_ok=True)
-    path = _cache_file(cache_dir, sql)
+    path = _cache_file(cache_dir, key)
     with open(f"{path}.{os.getpid()}", "w", encoding="utf-8") as f:
         json.dump(found, f)
     os.replace(f"{path}.{os.getpid()}", path)
@@ -121,7 +133,10 @@ def _pair(c):
 
 def public_rows(lineage: DataFrame, nodes: DataFrame, include_ephemeral: bool = False) -> DataFrame:
     """One row for each model column, by its first entry: flags by type, the single source (null when there are several), all sources or a union's branches in order, and
-    whether the chain begins here (no source, or a passthrough of a source or seed)."""
+    whether the chain begins here (no source, or a passthrough of a source or seed).
+
+    Rows of ephemeral models (``include_ephemeral``) have the model's own name and say only whether a column is derived or renamed.
+    """
     first = lineage.where("entry = 0")
     if not include_ephemeral:
         first = first.where(~F.col("model").startswith(EPHEMERAL_PREFIX))
@@ -142,7 +157,15 @@ def public_rows(lineage: DataFrame, nodes: DataFrame, include_ephemeral: bool =
     )
     rows = rows.join(F.broadcast(kinds), "progenitor_model", "left")
     passthrough = F.col("transformation_type").isin("direct", "renamed")
-    return rows.withColumn("is_first_in_chain", passthrough & (F.col("progenitor_model").isNull() | F.coalesce(F.col("kind").isin("source", "seed"), F.lit(False)))).drop("kind")
+    begins = F.col("progenitor_model").isNull() | F.coalesce(F.col("kind").isin("source", "seed"), F.lit(False))
+    rows = rows.withColumn("is_first_in_chain", passthrough & begins)
+    if include_ephemeral:
+        eph, derived = F.col("model").startswith(EPHEMERAL_PREFIX), F.col("transformation_type") == "derived"
+        plain = {c: F.when(eph, F.lit(False)).otherwise(F.col(c)) for c in ("is_aggregate", "is_window", "is_literal", "is_union", "is_generated")}
+        plain |= {c: F.when(~eph, F.col(c)) for c in ("literal_value", "generated_value", "progenitors", "union_branches")}
+        rows = rows.withColumns({**plain, "is_first_in_chain": F.when(eph, begins & ~derived).otherwise(F.col("is_first_in_chain")), "is_computed": F.when(eph, derived).otherwise(F.col("is_computed"))})
+        rows = rows.withColumn("model", F.regexp_replace("model", "^" + EPHEMERAL_PREFIX, ""))
+    return rows.drop("kind")
 
 
 def lineage_edges(lineage: DataFrame, nodes: DataFrame, follow_unions: bool = False, seeds: bool = False, declared_only: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import is_placeholder, name_variants, normal, overlay, without_keys
 from tracewell.operators.annotate import STYLE, Style, stripped
 from tracewell.operators.graph import is_wall
-from tracewell.storage import cut
+from tracewell.storage import cut, grown
 
 
 def _texts(columns: DataFrame, nodes: DataFrame, style: Style) -> DataFrame:
@@ -62,7 +62,9 @@ def resolved_texts(columns: DataFrame, rows: DataFrame, nodes: DataFrame, depth:
         tags = F.when(takes & ~(F.coalesce("no_tags", F.lit("false")) == "true") & (F.size("p_tags") > 0), F.array_sort(F.array_union("tags", "p_tags"))).otherwise(F.col("tags"))
         meta = F.when(takes & ~(F.coalesce("no_meta", F.lit("false")) == "true"), overlay(without_keys(F.col("p_meta"), style.managed), F.col("meta"))).otherwise(F.col("meta"))
         wave = x.withColumn("text", text).select("unique_id", "model", "column", "text", F.when(F.col("text").isNotNull(), origin).alias("origin"), tags.alias("tags"), meta.alias("meta"))
-        done = cut(wave if done is None else done.unionByName(wave))
+        # Only the wave is written; on every 16th level its predecessors again, so the parts stay few.
+        wave = cut(wave)
+        done = wave if done is None else grown(done, wave, level)
     return done
 
 

@@ -7,6 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.sql import Renderer
 from tracewell.plans.lineage import deep_walk
 from tracewell.plans.reader import Node, PlanReader
 
@@ -127,17 +128,30 @@ class Linter:
                         self.failed.append((r.id, name, str(e)))
         return out.unionByName(self.spark.createDataFrame(rows, VIOLATION))
 
-    def lint_model(self, nodes: DataFrame, name: str) -> DataFrame:
+    def compiled(self, nodes: DataFrame, renderer: Renderer | None = None) -> DataFrame:
+        """(id, sql): the compiled SQL; where there is none, the raw text if it needs no rendering, else what the renderer makes of it. A template
+        that can't be rendered has no SQL, so it is reported as such instead of its markers as parse errors."""
+        templated = F.col("raw_sql").contains("{{") | F.col("raw_sql").contains("{%") | F.col("raw_sql").contains("{#")
+        ready = nodes.where(F.col("compiled_sql").isNotNull() | ~F.coalesce(templated, F.lit(False))).select(F.col("name").alias("id"), F.coalesce("compiled_sql", "raw_sql").alias("sql"))
+        rest = []
+        for r in nodes.where("compiled_sql IS NULL").where(templated).select("name", "raw_sql").collect():
+            try:
+                rest.append((r.name, (renderer or Renderer()).render(r.raw_sql)))
+            except ValueError:
+                rest.append((r.name, None))
+        return ready.unionByName(self.spark.createDataFrame(rest, "id string, sql string")) if rest else ready
+
+    def lint_model(self, nodes: DataFrame, name: str, renderer: Renderer | None = None) -> DataFrame:
         found = nodes.where(F.lower("name") == name.lower())
         if found.isEmpty():
             return self.spark.createDataFrame([(name, "not-found", LEVELS["not-found"], None, None, f"No model {name}", None, None)], VIOLATION)
-        return self.lint(found.select(F.col("name").alias("id"), F.coalesce("compiled_sql", "raw_sql").alias("sql")))
+        return self.lint(self.compiled(found, renderer))
 
-    def lint_project(self, nodes: DataFrame, fqn: str | None = None) -> DataFrame:
+    def lint_project(self, nodes: DataFrame, fqn: str | None = None, renderer: Renderer | None = None) -> DataFrame:
         models = nodes.where("resource_type = 'model'")
         if fqn:
             models = models.where(F.array_join("fqn", ".").contains(fqn))
-        return self.lint(models.select(F.col("name").alias("id"), F.coalesce("compiled_sql", "raw_sql").alias("sql")))
+        return self.lint(self.compiled(models, renderer))
 
 
 def first_statement(sql: str) -> str:

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.plans.reader import as_spark, with_qualify
+
 _PARTS = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
 _SAFE = re.compile(r"\s*(?:'[^']*'|\"[^\"]*\"|[\w.]+|-?\d+|\[[^\]]*\])\s*$")
 
@@ -120,8 +122,9 @@ def _split(text: str) -> list[str]:
     return out + [now] if now.strip() else out
 
 
-def run(spark: SparkSession, sql: str, renderer: Renderer | None = None) -> DataFrame:
-    return spark.sql((renderer or Renderer()).render(sql) if is_templated(sql) else sql)
+def run(spark: SparkSession, sql: str, renderer: Renderer | None = None, dialect: str | None = None) -> DataFrame:
+    """Render a template, put forms of other dialects (QUALIFY, EXCLUDE, bracketed names, ...) in Spark's words, and run it."""
+    return spark.sql(with_qualify(as_spark((renderer or Renderer()).render(sql) if is_templated(sql) else sql, dialect)))
 
 
 def preview(df: DataFrame, rows: int = 50, columns: int = 6, width: int = 20) -> str:

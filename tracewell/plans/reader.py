@@ -67,9 +67,10 @@ def name_parts(text: str) -> list[str]:
 
 
 class PlanReader:
-    """Parses SQL without a catalog; needs a classic (not Connect) session."""
+    """Parses SQL without a catalog; needs a classic (not Connect) session. SQL of another ``dialect`` is rewritten first."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, dialect: str | None = None):
+        self.dialect = dialect
         session = getattr(spark, "_jsparkSession", None)
         if session is None:
             raise RuntimeError("the lineage front-end needs a classic Spark session with a JVM, not Spark Connect")
@@ -83,7 +84,7 @@ class PlanReader:
                 self.aggregates.add(names.apply(i).funcName().lower())
 
     def parse(self, sql: str) -> Node:
-        return _tree(iter(json.loads(self._parser.parsePlan(without_qualify(sql)).toJSON())))
+        return _tree(iter(json.loads(self._parser.parsePlan(without_qualify(as_spark(sql, self.dialect))).toJSON())))
 
 
 _TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|\w+|\s+|.", re.S)
@@ -108,6 +109,91 @@ def without_qualify(sql: str) -> str:
     return "".join(out)
 
 
+#: Dialects whose double quotes hold names.
+QUOTED_NAMES = ("ansi", "athena", "duckdb", "oracle", "postgres", "redshift", "snowflake", "sqlite", "sqlserver", "trino", "tsql")
+#: Words after which a bracket opens a name, not an index.
+_BEFORE_NAME = {"all", "and", "as", "between", "by", "case", "distinct", "else", "from", "having", "in", "into", "is", "join", "like", "not", "on", "or", "over", "select", "set", "table", "then", "update", "using", "when", "where", "with"}
+
+
+def as_spark(sql: str, dialect: str | None = None) -> str:
+    """Forms of other dialects in Spark's words: ``* EXCLUDE (x)`` becomes EXCEPT, ``SELECT TOP n`` loses its TOP (which only
+    limits rows), bracketed names are quoted by backticks, as are names in double quotes where the dialect has them."""
+    low = sql.lower()
+    quotes = dialect in QUOTED_NAMES and '"' in sql
+    if not quotes and "[" not in sql and "exclude" not in low and not re.search(r"\btop\b", low):
+        return sql
+    tokens, out, last, i = _TOKEN.findall(sql), [], "", 0
+
+    def solid(k: int) -> int:
+        """The next token from k on that is neither white space nor a comment."""
+        while k < len(tokens) and (tokens[k].isspace() or tokens[k].startswith(("--", "/*"))):
+            k += 1
+        return k
+
+    while i < len(tokens):
+        t = tokens[i]
+        word = t.lower()
+        if word == "top" and last in ("select", "distinct", "all"):
+            k = solid(i + 1)
+            if k < len(tokens) and (tokens[k].isdigit() or tokens[k] == "("):
+                depth = 0
+                while k < len(tokens):
+                    depth += (tokens[k] == "(") - (tokens[k] == ")")
+                    k += 1
+                    if depth == 0:
+                        break
+                nxt = solid(k)
+                if nxt < len(tokens) and tokens[nxt].lower() == "percent":
+                    k = nxt + 1
+                i = k
+                continue
+        elif word == "exclude" and last == "*":
+            k = solid(i + 1)
+            if k < len(tokens) and tokens[k] == "(":
+                t = "except"
+            elif k < len(tokens):
+                out.append(f"except ({tokens[k]})")
+                last, i = ")", k + 1
+                continue
+        elif t == "[" and (not last or last in _BEFORE_NAME or not re.match(r"[\w\])`\"]", last[-1])):
+            close = next((k for k in range(i + 1, len(tokens)) if tokens[k] == "]"), None)
+            name = "".join(tokens[i + 1 : close]) if close is not None else ""
+            if re.fullmatch(r"[^\W\d][\w $#@.-]*", name):
+                out.append(f"`{name}`")
+                last, i = "`", close + 1
+                continue
+        elif quotes and len(t) > 2 and t[0] == '"':
+            t = "`" + t[1:-1].replace('""', '"').replace("`", "``") + "`"
+        out.append(t)
+        if not t.isspace() and not t.startswith(("--", "/*")):
+            last = word if t == tokens[i] else t
+        i += 1
+    return "".join(out)
+
+
+def with_qualify(sql: str) -> str:
+    """QUALIFY as a filter over a column of its own, so that the query runs: the innermost block first, until none is left."""
+    while True:
+        tokens = _TOKEN.findall(sql)
+        words = [t.lower() for t in tokens]
+        depth, at, where = 0, [], {}
+        for k, t in enumerate(tokens):
+            depth += (t == "(") - (t == ")")
+            at.append(depth + (t == ")"))
+            if words[k] == "qualify":
+                where[k] = depth
+        if not where:
+            return sql
+        q = max(where, key=lambda k: where[k])
+        d = where[q]
+        begin = max(k for k in range(q) if words[k] == "select" and at[k] == d)
+        from_ = next(k for k in range(begin, q) if words[k] == "from" and at[k] == d)
+        end = next((k for k in range(q, len(tokens)) if at[k] < d or at[k] == d and (tokens[k] == ";" or words[k] in _ENDS or tokens[k] == ")" and d > 0)), len(tokens))
+        head, body, cond = "".join(tokens[begin:from_]), "".join(tokens[from_:q]), "".join(tokens[q + 1 : end])
+        block = f"select * except (__qualified) from ({head.rstrip()}, ({cond.strip()}) as __qualified {body.rstrip()}) as __q where __qualified "
+        sql = "".join(tokens[:begin]) + block + "".join(tokens[end:])
+
+
 def strip_comments(sql: str) -> str:
     """Without block and line comments (string literals stay as they are), white space collapsed."""
     kept = ["" if t.startswith(("--", "/*")) else t for t in _TOKEN.findall(sql)]

@@ -34,7 +34,7 @@ def lit(v: Any) -> str:
     if isinstance(v, bool):
         return str(v).upper()
     if isinstance(v, (int, float)):
-        return str(v)
+        return f"{v}::DOUBLE" if isinstance(v, float) else str(v)
     return "'" + str(v).replace("'", "''") + "'"
 
 

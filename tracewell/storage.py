@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -14,8 +15,11 @@ def grown(seen: DataFrame, more: DataFrame, level: int) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder of ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
+    """Checkpoint ``df`` in the folder of ``spark.checkpoint.dir``; a folder of our own only where a local session names none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewell-"))
     return df.checkpoint()
