@@ -119,19 +119,18 @@ def beside(rows: DataFrame, side: DataFrame, key: str, rows_of_key: Column, how:
 SMALL_IDS = 500_000
 
 
-def without(rows: DataFrame, key: Column, gone: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     """``rows`` whose ``key`` isn't in ``gone(gone)``, each key of it once; a null key stays. No row is shuffled.
 
     Up to SMALL_IDS keys are sent to all. More make a Bloom filter that workers map; the keys that it takes for gone but
-    aren't are found beforehand among ``keys(key)`` (all keys of ``rows``, read from them where not given), by a shuffle of the keys that
-    hit, and sent to all. With too many of these the filter is made anew with more bits.
+    aren't are found beforehand among all keys of ``rows``, by a shuffle of the keys that hit, and sent to all. With too many of these the filter is made anew with more bits.
     """
     from tracewell.llm import bloom
 
     n = gone.count()
     if n <= SMALL_IDS:
         return rows.join(F.broadcast(gone), key == F.col("gone"), "left_anti")
-    keys = rows.select(key.alias("key")).where("key IS NOT NULL") if keys is None else keys
+    keys = rows.select(key.alias("key")).where("key IS NOT NULL")
     bits = 24
     while True:
         filter_ = bloom.write(gone.select(F.xxhash64("gone").alias("h")), n, bits, 8)

@@ -73,18 +73,19 @@ def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
     return (x != y).sum(axis=1)
 
 
-def signature_table(docs: DataFrame, null_ids: bool = False) -> DataFrame:
-    """(id, sig) of all rows with an id of any type (or, if ``null_ids``, without one, too) and at least one word."""
+def signature_table(docs: DataFrame, null_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, sig, and the columns ``carry``) of all rows with an id of any type (or, if ``null_ids``, without one, too) and at least one word."""
 
     def sign(batches):
         for batch in batches:
             for at, part in slices(batch.column(1)):
                 have, sig = signatures(*raw(part))
                 if len(have):
-                    yield pa.record_batch([batch.column(0).take(pa.array(have + at)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "sig"])
+                    rows = pa.array(have + at)
+                    yield pa.record_batch([batch.column(0).take(rows), pa.array([r.tobytes() for r in sig], pa.binary()), *(batch.column(2 + k).take(rows) for k in range(len(carry)))], names=["id", "sig", *carry])
 
-    rows = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
-    schema = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("sig", T.BinaryType())])
+    rows = docs.select(F.col("doc_id").alias("id"), "text", *carry).where("text IS NOT NULL")
+    schema = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("sig", T.BinaryType()), *(docs.schema[c] for c in carry)])
     return (rows if null_ids else rows.where("id IS NOT NULL")).mapInArrow(sign, schema)
 
 
@@ -270,41 +271,32 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return without_ids(docs, near_pairs(docs).select(F.col("doc_id").alias("gone")))
 
 
-@F.arrow_udf(T.BinaryType())
-def _signature(texts: pa.Array) -> pa.Array:
-    out = []
-    for _, part in slices(texts):
-        have, sig = signatures(*raw(part))
-        own = dict(zip(have.tolist(), sig))
-        out.extend(own[i].tobytes() if i in own else None for i in range(len(part)))
-    return pa.array(out, pa.binary())
-
-
 def drop_near_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies, by row: of each group of near rows one stays; all columns as they were.
 
     Every row with a word is compared by its own text, also rows with a null doc_id, repeated rows and further texts of
     one doc_id. Groups are those of near_groups(), of signatures instead of ids. The row with the smallest doc_id stays,
-    null ids last; of several such rows, the first by signature, then by all columns. Rows with a null text or no word stay.
+    null ids last; of several such rows, the first by signature, then by a hash of the text, then by all columns. Rows with a null text
+    or no word stay. A row is found again by its id and the hash of its text, so texts are signed once.
     An empty table stays empty.
     """
     need(docs, "doc_id", "text")
 
-    def row_key(doc_id: Column, sig: Column) -> Column:
-        """What a row is found again by: a hash of its id and signature."""
-        return F.when(sig.isNotNull(), F.xxhash64(doc_id.isNull(), doc_id, sig))
+    def row_key(doc_id: Column, of: Column) -> Column:
+        return F.xxhash64(doc_id.isNull(), doc_id, of)
 
-    signed = written(signature_table(docs, null_ids=True).groupBy("id", "sig").agg(F.count("*").alias("copies")), "signatures")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("of"))
+    signed = written(signature_table(texts, null_ids=True, carry=("of",)).groupBy("id", "sig", "of").agg(F.count("*").alias("copies")), "signatures")
     nodes = _nodes(signed)
-    member = written(_labelled(signed, nodes, nodes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))).select("id", "sig", "copies", "label"), "members")
-    order = F.struct(F.col("id").isNull(), "id", "sig")
+    member = written(_labelled(signed, nodes, nodes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))).select("id", "sig", "of", "copies", "label"), "members")
+    order = F.struct(F.col("id").isNull(), "id", "sig", "of")
     best = member.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("size"))
-    ranked = beside(member, best, "label", F.col("size")).select(row_key(F.col("id"), F.col("sig")).alias("key"), (F.col("best") == order).alias("stays"), "copies")
+    ranked = beside(member, best, "label", F.col("size")).select(row_key(F.col("id"), F.col("of")).alias("key"), (F.col("best") == order).alias("stays"), "copies")
     ranked = written(ranked, "ranked")
 
-    rows = packed(docs).withColumn("mark", row_key(F.col("row.doc_id"), _signature("row.text")))
+    rows = packed(docs).withColumn("mark", F.when(F.col("row.text").isNotNull(), row_key(F.col("row.doc_id"), F.xxhash64("row.text"))))
     decided = ranked.where("NOT stays OR copies > 1").select(F.col("key").alias("gone")).distinct()
-    kept = without(rows, F.col("mark"), written(decided, "decided"), ranked.select("key")).select("row")
+    kept = without(rows, F.col("mark"), written(decided, "decided")).select("row")
     repeated = written(ranked.where("stays AND copies > 1").select("key"), "repeated")
     if n := repeated.count():
         # Of rows that repeat a whole group's first one, all columns decide; a limit before the shuffle leaves one for each task.
