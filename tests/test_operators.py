@@ -330,6 +330,29 @@ def test_display(spark):
     assert graph.column_info(f.edges, f.lineage, "stg_orders", "order_id").groupBy("direction").count().count() == 2
 
 
+def test_explorer(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from tracewell.operators import explorer
+
+    f = Q.facts(spark)
+    http = explorer.server(explorer.Explorer(f.edges, f.project.exposures, f.project.nodes))
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    get = lambda path: json.loads(urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}{path}").read())
+    try:
+        assert "customer_mart" in get("/models") and len(get("/graph")["edges"]) == graph.display_graph(f.edges, f.project.exposures, f.project.nodes)[1].count()
+        assert get("/search?q=N_NAME") == ["nation.n_name", "stg_nation.n_name"]
+        assert get("/lineage/%2Bcustomer_mart.first_order") == [{"direction": "upstream", "root_column": "first_order", "model": "stg_orders", "column": "order_date", "depth": 1}, {"direction": "upstream", "root_column": "first_order", "model": "orders", "column": "o_orderdate", "depth": 2}]
+        for path, status in (("/lineage/a.b.c.+.", 400), ("/nothing", 404)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                get(path)
+            assert e.value.code == status
+    finally:
+        http.shutdown()
+
+
 def test_streaming(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()

@@ -1,6 +1,7 @@
 """Loading a project from disk, the standard workflows, and the command line."""
 
 import json
+import os
 
 import pytest
 import yaml
@@ -43,6 +44,25 @@ def test_load(spark, root):
         project.compiled_nodes(spark, m, "guess")
 
 
+def test_stale_models_are_rendered_anew_and_projects_kept(spark, root):
+    bare = json.loads(json.dumps(MANIFEST))
+    bare["nodes"]["model.p.orders"] |= {"original_file_path": "orders.sql"}
+    (root / "target" / "manifest.json").write_text(json.dumps(bare))
+    compiled, source = root / "target" / "compiled" / "p" / "orders.sql", root / "orders.sql"
+    compiled.parent.mkdir(parents=True)
+    source.write_text("select 5 as five from {{ source('shop', 'raw') }}")
+    compiled.write_text("select 4 as four")
+    sql_of = lambda: {r.unique_id: r.compiled_sql for r in project.load(spark, str(root), "auto_compile").nodes.collect()}["model.p.orders"]
+    os.utime(source, (1, 1))
+    assert sql_of() == MANIFEST["nodes"]["model.p.orders"]["compiled_code"]
+    os.utime(source, (4e9, 4e9))
+    assert sql_of() == "select 5 as five from RAW_ORDERS"
+    one = project.load_once(spark, str(root))
+    assert project.load_once(spark, str(root)) is one
+    project.clear_loaded()
+    assert project.load_once(spark, str(root)) is not one
+
+
 def test_refactor(spark):
     f = Q.facts(spark)
     p = f.project

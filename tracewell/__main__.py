@@ -29,6 +29,7 @@ def _parser() -> argparse.ArgumentParser:
             y.add_argument(f"--{flag}", action="store_true")
     sub.add_parser("lineage").add_argument("selector", help="[+]model[.column][+]")
     sub.add_parser("dot")
+    sub.add_parser("serve", help="lineage as JSON over HTTP").add_argument("--port", type=int, default=8580)
     sub.add_parser("impact")
     h = sub.add_parser("health")
     h.add_argument("--min-coverage", type=float, default=0.0)
@@ -63,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from tracewell.operators import assembly, diff, display, generate, graph, health, lint, sql, validate, workflows
+    from tracewell.operators import assembly, diff, display, explorer, generate, graph, health, lint, sql, validate, workflows
     from tracewell.sources import catalog, files, manifest, project
 
     spark = SparkSession.builder.appName("tracewell").config("spark.ui.showConsoleProgress", "false").getOrCreate()
@@ -139,6 +140,13 @@ def main(argv: list[str] | None = None) -> int:
         show(graph.select_lineage(edges, a.selector).orderBy("direction", "depth", "model", "column"))
     elif a.command == "impact":
         show(graph.impact(edges, lineage, loaded.nodes, loaded.exposures).orderBy("root_model", "root_column"))
+    elif a.command == "serve":
+        http = explorer.server(explorer.Explorer(edges, loaded.exposures, loaded.nodes), port=a.port)
+        print(f"http://127.0.0.1:{http.server_port}/graph", flush=True)
+        try:
+            http.serve_forever()
+        except KeyboardInterrupt:
+            http.server_close()
     else:
         print(display.dot(*graph.display_graph(edges, loaded.exposures, loaded.nodes)))
     return 0

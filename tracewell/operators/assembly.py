@@ -73,8 +73,13 @@ def _cache_file(cache_dir: str, key: str) -> str:
     return os.path.join(cache_dir, f"v{CACHE_VERSION}-{hashlib.sha256(key.encode()).hexdigest()}.json")
 
 
+_memory: dict[tuple[str, str], dict] = {}
+
+
 def clear_cache(cache_dir: str) -> int:
-    """Remove a cache's files, of any version; how many there were."""
+    """Forget what is kept of a cache in memory and remove its files, of any version; how many there were."""
+    for at in [k for k in _memory if k[0] == cache_dir]:
+        del _memory[at]
     names = [n for n in os.listdir(cache_dir) if re.fullmatch(r"v\d+-[0-9a-f]{64}\.json", n)] if os.path.isdir(cache_dir) else []
     for n in names:
         os.remove(os.path.join(cache_dir, n))
@@ -82,15 +87,21 @@ def clear_cache(cache_dir: str) -> int:
 
 
 def _cached(cache_dir: str | None, key: str) -> dict | None:
-    if not cache_dir or not os.path.exists(path := _cache_file(cache_dir, key)):
+    """From memory, else from the folder."""
+    if not cache_dir:
         return None
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    if (cache_dir, key) not in _memory:
+        if not os.path.exists(path := _cache_file(cache_dir, key)):
+            return None
+        with open(path, encoding="utf-8") as f:
+            _memory[cache_dir, key] = json.load(f)
+    return _memory[cache_dir, key]
 
 
 def _keep(cache_dir: str | None, key: str, found: dict) -> None:
     if not cache_dir or not (found["columns"] or found["stars"]):
         return
+    _memory[cache_dir, key] = found
     os.makedirs(cache_dir, exist_ok=True)
     path = _cache_file(cache_dir, key)
     with open(f"{path}.{os.getpid()}", "w", encoding="utf-8") as f:

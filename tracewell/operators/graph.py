@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.storage import cut, grown
@@ -31,19 +31,20 @@ class Selector:
         return cls(m[2].lower(), m[3].lower() if m[3] else None, up or not down, down or not up)
 
 
-def closure(edges: DataFrame, up: bool = True, max_depth: int | None = None) -> DataFrame:
+def closure(edges: DataFrame, up: bool = True, max_depth: int | None = None, only: Column | None = None) -> DataFrame:
     """(root_model, root_column, model, column, depth) of everything that each column comes from (``up``) or feeds; depth is the shortest way.
 
-    All columns at once, to any depth unless ``max_depth`` is given; see closure_by_joins().
+    All columns at once, or those whose root_model and root_column pass ``only``, to any depth unless ``max_depth`` is given; see closure_by_joins().
     """
-    return closure_by_joins(edges, up, max_depth)
+    return closure_by_joins(edges, up, max_depth, only)
 
 
-def closure_by_joins(edges: DataFrame, up: bool = True, max_depth: int | None = None) -> DataFrame:
+def closure_by_joins(edges: DataFrame, up: bool = True, max_depth: int | None = None, only: Column | None = None) -> DataFrame:
     """closure() level by level until a level reaches nothing new, each pair reached once: large, cyclic and diamond-rich graphs, too. Each level is checkpointed."""
     root, to = ("child", "parent") if up else ("parent", "child")
     step = edges.select(F.col(f"{root}_model").alias("m"), F.col(f"{root}_column").alias("c"), F.col(f"{to}_model").alias("model"), F.col(f"{to}_column").alias("column")).distinct()
-    seen = cut(step.select(F.col("m").alias("root_model"), F.col("c").alias("root_column"), "model", "column", F.lit(1).alias("depth")))
+    seen = step.select(F.col("m").alias("root_model"), F.col("c").alias("root_column"), "model", "column", F.lit(1).alias("depth"))
+    seen = cut(seen if only is None else seen.where(only))
     frontier, keys, depth = seen, ["root_model", "root_column", "model", "column"], 1
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -168,19 +169,15 @@ def waves(depth: DataFrame) -> DataFrame:
     return depth.groupBy("depth").agg(F.array_sort(F.collect_list("unique_id")).alias("members")).orderBy("depth")
 
 
-_ANCESTORS = """
-WITH RECURSIVE a (unique_id, ancestor, generation) AS (
-  SELECT unique_id, unique_id, 0 FROM {nodes}
-  UNION ALL
-  SELECT a.unique_id, e.parent_uid, a.generation + 1 FROM a JOIN {edges} e ON e.child_uid = a.ancestor WHERE a.generation < MAXDEPTH
-)
-SELECT unique_id, ancestor, CAST(min(generation) AS INT) AS generation FROM a GROUP BY unique_id, ancestor
-"""
+def ancestors(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(unique_id, ancestor, generation): every ancestor once, by the shortest way; the node itself is generation 0.
 
-
-def ancestors(nodes: DataFrame, edges: DataFrame, max_depth: int = 98) -> DataFrame:
-    """(unique_id, ancestor, generation): every ancestor once, by the shortest way; the node itself is generation 0."""
-    return nodes.sparkSession.sql(_ANCESTORS.replace("MAXDEPTH", str(max_depth)), nodes=nodes.select("unique_id"), edges=edges)
+    A closure with a visited set, so diamonds and cycles cost no more than their nodes, and there is no limit unless ``max_depth`` is one.
+    """
+    none = F.lit("")
+    as_columns = edges.select(F.col("child_uid").alias("child_model"), none.alias("child_column"), F.col("parent_uid").alias("parent_model"), none.alias("parent_column"))
+    above = closure(as_columns, True, max_depth).select(F.col("root_model").alias("unique_id"), F.col("model").alias("ancestor"), F.col("depth").alias("generation")).where("unique_id <> ancestor")
+    return nodes.select("unique_id", F.col("unique_id").alias("ancestor"), F.lit(0).alias("generation")).union(above.join(nodes.select("unique_id"), "unique_id", "left_semi"))
 
 
 def ancestors_depth_first(parents: dict[str, list[str]], node: str, max_depth: int = 100) -> dict[int, list[str]]:
@@ -216,7 +213,7 @@ def model_info(nodes: DataFrame, columns: DataFrame, edges: DataFrame, exposures
 def column_info(edges: DataFrame, lineage: DataFrame, model: str, column: str) -> DataFrame:
     """Both closures of one column: (direction, model, column, depth)."""
     own = (F.col("root_model") == model.lower()) & (F.col("root_column") == column.lower())
-    up, down = closure(edges, True).where(own), closure(edges, False).where(own)
+    up, down = closure(edges, True, only=own), closure(edges, False, only=own)
     return up.select(F.lit("upstream").alias("direction"), "model", "column", "depth").union(down.select(F.lit("downstream").alias("direction"), "model", "column", "depth"))
 
 
@@ -225,8 +222,8 @@ def select_lineage(edges: DataFrame, selector: str) -> DataFrame:
     parts = []
     for wanted, up, name in ((s.upstream, True, "upstream"), (s.downstream, False, "downstream")):
         if wanted:
-            c = closure(edges, up).where(F.col("root_model") == s.model)
-            parts.append((c.where(F.col("root_column") == s.column) if s.column else c).select(F.lit(name).alias("direction"), "root_column", "model", "column", "depth"))
+            own = F.col("root_model") == s.model
+            parts.append(closure(edges, up, only=own & (F.col("root_column") == s.column) if s.column else own).select(F.lit(name).alias("direction"), "root_column", "model", "column", "depth"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
