@@ -100,9 +100,13 @@ def test_slices_cover_everything_and_nulls_are_empty():
     assert raw(arr.slice(2))[1].tolist() == [0, 50, 50, 51]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [common.HOT_ROWS, 20])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
+    # A node with very many neighbours, smaller and larger ones.
+    edges += [(5000, i) for i in range(4000, 6000, 9) if i != 5000] + [(4000, 3999)]
     parent = {}
 
     def find(x):
@@ -117,6 +121,21 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_large_buckets_compare_all_but_their_largest_label(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = [(1, i, 0) for i in range(50)] + [(1, i, i) for i in range(50, 60)] + [(2, i, i // 6) for i in range(100, 112)]
+    units = minhash._blocks(spark.createDataFrame(rows, "key long, id long, label long")).collect()
+    together = {}
+    for r in units:
+        together.setdefault(r.key, set()).add(r.id)
+    met = {(a, b) for m in together.values() for a in m for b in m}
+    for key, i, label in rows:
+        for other, j, its in rows:
+            assert label == its or ((i, j) in met) == (key == other)
+    # 13 blocks of the largest label each meet 3 of the rest, whose members meet 13 + 3.
+    assert sum(r.id < 50 for r in units) == 50 * 3 and sum(50 <= r.id < 60 for r in units) == 10 * 16
+
+
 # 1 WARC.
 
 

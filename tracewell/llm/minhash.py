@@ -234,22 +234,41 @@ def _labelled(signed: DataFrame, nodes: DataFrame, equal: DataFrame) -> DataFram
     return beside(signed, found, "sig", F.col("rows"))
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """(id, key): members(key, id, label) of large buckets in units of two blocks of at most about BLOCK members each.
+
+    Members of a bucket's most frequent label need no comparison among themselves, so only their blocks with those of the rest
+    are units, and the pairs of blocks of the rest: a bucket of one huge group and a few others costs as many rows as it has members.
+    """
+    counts = members.groupBy("key", "label").agg(F.count("*").alias("c"))
+    top = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"))
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("long")
+    top = written(top.select("key", "n", F.col("top.label").alias("most"), blocks(F.col("top.c")).alias("its"), blocks(F.col("n") - F.col("top.c")).alias("rest")), "large-buckets")
+    own, upto = F.col("label") == F.col("most"), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    rows = beside(members, top, "key", F.col("n")).withColumn("mine", F.pmod(F.xxhash64("id"), F.when(own, F.col("its")).otherwise(F.col("rest"))))
+    across = F.transform(upto("rest"), lambda k: F.xxhash64("key", F.lit("most"), "mine", k))
+    back = F.transform(upto("its"), lambda k: F.xxhash64("key", F.lit("most"), k, "mine"))
+    among = F.transform(upto("rest"), lambda k: F.xxhash64("key", F.lit("rest"), F.least("mine", k), F.greatest("mine", k)))
+    return rows.select("id", F.explode(F.when(own, across).otherwise(F.concat(back, among))).alias("key"))
+
+
 def _linked(nodes: DataFrame, equal: DataFrame) -> DataFrame:
     """(node, label) of the components of nodes(id, sig), each signature once, by near pairs and the edges equal(a, b)."""
-    star = _centers(nodes).select("id", F.min("id").over(Window.partitionBy("key")).alias("center")).where("id <> center").distinct()
+    star = written(_centers(nodes).select("id", F.min("id").over(Window.partitionBy("key")).alias("center")).where("id <> center").distinct(), "centers")
     lookup = nodes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-    other = nodes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    pairs = star.select(F.col("id").alias("a"), F.col("center").alias("b")).join(lookup, "a").join(other, "b")
+    # A center has a row for each batch that knows its bucket.
+    other = star.groupBy(F.col("center").alias("b")).agg(F.count("*").alias("n")).join(nodes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    pairs = beside(star.select(F.col("id").alias("a"), F.col("center").alias("b")), written(other, "others"), "b", F.col("n")).join(lookup, "a")
     edges = written(_near(pairs).select("a", "b").union(_local(nodes)).union(equal), "star")
     labels = written(components(edges), "labels")
 
     labelled = written(nodes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "sig"), "labelled")
     mixed = _keyed(labelled).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    mixed = written(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "mixed")
-    members = _keyed(labelled).join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks"))
-    # Each pair of blocks of a bucket is a unit of its own; one block, as almost always, is one unit.
-    units = members.withColumn("its", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = units.select("id", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "its"), F.greatest("mine", "its"))).alias("key"))
+    mixed = written(mixed.select("key", "n"), "mixed")
+    members = beside(_keyed(labelled), mixed, "key", F.col("n"))
+    units = members.where(F.col("n") <= BLOCK).select("id", "key")
+    if not mixed.where(F.col("n") > BLOCK).isEmpty():
+        units = units.union(_blocks(members.where(F.col("n") > BLOCK).drop("n")))
     rows = units.join(labelled, "id").select("key", "id", "label", "sig")
     crossing = _crossing(rows.repartition("key").sortWithinPartitions("key", "id"))
     more = written(crossing.distinct(), "crossing")
