@@ -59,3 +59,22 @@ def test_nothing_else_imports_llm():
         for n in names:
             if n.endswith(".py") and os.sep + "llm" not in folder:
                 assert "tracewell.llm" not in open(os.path.join(folder, n), encoding="utf-8").read()
+
+
+ODD_TEXTS = [
+    None, "", " ", "\t\n", "Undefined", "Not documented", "No description for this column", "Pending further documentation", "the value", "The ID", "one", "one two", "one two three", "THIS IS A test of it", "THİS İS A test of it",
+    "\u3000one", "\u00a0 one two", "one two \u2003", "one \u00a0 two", " \u3000 \u202f ", "one two three\u205f", "\u1680one two three ", "\n one\ttwo\r\nthree\f", "ΟΔΟΣ ΣΑΣ", "a\x0bb c\x1c", "x\x00y z w", "\u200bone two", "\ufeffone two",
+]
+
+
+@pytest.mark.parametrize("name", ["doc_quality_flags", "desc_normalize"])
+def test_texts_of_any_kind(spark, tmp_path, name):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": range(len(ODD_TEXTS)), "text": ODD_TEXTS}), tmp_path / "documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = c.execute(Q.SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, Q.QUERIES[name](spark, str(tmp_path)).select(*names).collect())) == sorted(want.fetchall())

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 PLACEHOLDERS = ("Undefined", "Not documented", "No description for this column", "Pending further documentation", "")
 _FOLDS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
+#: All of Unicode's space separators; SQL's trim takes them off.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t\r\n\f]+", " "))
+    return F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t\r\n\f]+", " "), F.lit(SPACES))
+
+
+def lower(c: Column) -> Column:
+    """Lower case letter by letter, as SQL has it: the dotted capital I is one letter then, and a sigma the same at the end of a word."""
+    return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
 
 
 def normal(c: Column) -> Column:
     """White space collapsed, lower case, umlauts folded: what texts are compared by."""
-    out = F.lower(collapse(c))
+    out = lower(collapse(c))
     for a, b in _FOLDS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -25,8 +32,8 @@ def equivalent(a: Column, b: Column) -> Column:
     return normal(a) == normal(b)
 
 
-def is_placeholder(c: Column) -> Column:
-    return F.trim(F.coalesce(c, F.lit(""))).isin(*PLACEHOLDERS)
+def is_placeholder(c: Column, placeholders: tuple[str, ...] = PLACEHOLDERS) -> Column:
+    return F.trim(F.coalesce(c, F.lit(""))).isin(*placeholders)
 
 
 def without_comments(c: Column) -> Column:

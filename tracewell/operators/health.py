@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import is_placeholder, word_count
+from tracewell.functions.text import PLACEHOLDERS, is_placeholder, lower, word_count
 from tracewell.operators.annotate import STYLE, Style, stripped
 
 GENERIC_MODEL = ("contains data", "model of", "table for", "this is a")
@@ -44,17 +44,17 @@ def passes(health: DataFrame, least: float) -> bool:
     return project_health(health).head().coverage >= least
 
 
-def model_gap(description: Column) -> Column:
+def model_gap(description: Column, placeholders: tuple[str, ...] = PLACEHOLDERS) -> Column:
     """missing, poor, or null: no text or a placeholder; under three words or a generic phrase."""
-    low = F.lower(description)
+    low = lower(description)
     generic = F.lit(False)
     for phrase in GENERIC_MODEL:
         generic = generic | low.contains(phrase)
-    return F.when(is_placeholder(description), "missing").when((word_count(description) < 3) | generic, "poor")
+    return F.when(is_placeholder(description, placeholders), "missing").when((word_count(description) < 3) | generic, "poor")
 
 
-def is_documented(description: Column) -> Column:
-    return ~is_placeholder(description) & (word_count(description) >= 2) & ~F.lower(F.coalesce(description, F.lit(""))).isin(*GENERIC_COLUMN)
+def is_documented(description: Column, placeholders: tuple[str, ...] = PLACEHOLDERS, generic: tuple[str, ...] = GENERIC_COLUMN) -> Column:
+    return ~is_placeholder(description, placeholders) & (word_count(description) >= 2) & ~F.lower(F.coalesce(description, F.lit(""))).isin(*generic)
 
 
 def priorities(nodes: DataFrame, columns: DataFrame, edges: DataFrame, gap: DataFrame) -> DataFrame:
