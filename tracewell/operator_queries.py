@@ -165,13 +165,13 @@ _E = " UNION ".join(f"SELECT '{m}' AS cm, CAST({'l_orderkey' if t == 'lineitem'
 
 
 def row_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the tables as a graph: an order comes from its suppliers and its customer, these from nations, those from regions."""
+    """Rows of the tables as a graph: an order comes from its suppliers and its customer, these from nations, those from regions. An order has an edge for each of its lines."""
     out = None
     for m, c, p, k, t in _LINKED:
         own = "l_orderkey" if t == "lineitem" else c
         e = load(spark, sf_dir, t).select(F.lit(m).alias("child_model"), F.col(own).cast("string").alias("child_column"), F.lit(p).alias("parent_model"), F.col(k).cast("string").alias("parent_column"))
         out = e if out is None else out.union(e)
-    return out.distinct()
+    return out
 
 
 @query(f"WITH RECURSIVE e AS ({_E}), w AS (SELECT cm AS root_model, cc AS root_column, pm AS model, pc AS column_name, 1 AS depth FROM e UNION SELECT w.root_model, w.root_column, e.pm, e.pc, w.depth + 1 FROM w JOIN e ON e.cm = w.model AND e.cc = w.column_name) SELECT root_model, root_column, model, column_name, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY ALL")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tracewell.storage import cut, grown
 
 MAX_DEPTH = 60
+#: Nodes that are sent to all tasks to tell which pairs of a closure can be found again.
+MOST_KEPT = 100_000
 
 
 @dataclass(frozen=True)
@@ -40,20 +42,36 @@ def closure(edges: DataFrame, up: bool = True, max_depth: int | None = None, onl
 
 
 def closure_by_joins(edges: DataFrame, up: bool = True, max_depth: int | None = None, only: Column | None = None) -> DataFrame:
-    """closure() level by level until a level reaches nothing new, each pair reached once: large, cyclic and diamond-rich graphs, too. Each level is checkpointed."""
-    root, to = ("child", "parent") if up else ("parent", "child")
-    step = edges.select(F.col(f"{root}_model").alias("m"), F.col(f"{root}_column").alias("c"), F.col(f"{to}_model").alias("model"), F.col(f"{to}_column").alias("column")).distinct()
-    seen = step.select(F.col("m").alias("root_model"), F.col("c").alias("root_column"), "model", "column", F.lit(1).alias("depth"))
-    seen = cut(seen if only is None else seen.where(only))
-    frontier, keys, depth = seen, ["root_model", "root_column", "model", "column"], 1
+    """closure() level by level until a level reaches nothing new, each pair reached once: large, cyclic and diamond-rich graphs, too. Each level is checkpointed.
+
+    Pairs grow at the end of the descendant, where a node's rows are its direct children: at the other end a few common ancestors would
+    gather the pairs of all their descendants in as many tasks. Only with ``only`` they grow away from the roots. Of the pairs, those whose
+    end leads on are joined, and of all found before, those that a new pair can repeat are compared, where few nodes tell them.
+    """
+    to = "parent" if up and only is not None else "child"
+    origin = "child" if to == "parent" else "parent"
+    near, far, pair = ["near_model", "near_column"], ["far_model", "far_column"], ["near_model", "near_column", "far_model", "far_column"]
+    root, target = (near, far) if up and only is None else (far, near)
+    step = edges.select(*[F.col(f"{e}_{k}").alias(f"{end}_{k}") for e, end in ((to, "near"), (origin, "far")) for k in ("model", "column")]).repartition(*near).distinct()
+    leads = edges.select(*[F.col(f"{origin}_{k}").alias(f"near_{k}") for k in ("model", "column")]).distinct().withColumn("on", F.lit(True))
+    step = cut(step.join(leads, near, "left").select(*pair, F.coalesce("on", F.lit(False)).alias("on")))
+    seen, depth = step.withColumn("depth", F.lit(1)), 1
+    if only is not None:
+        seen = cut(seen.withColumnsRenamed(dict(zip(root, ("root_model", "root_column")))).where(only).withColumnsRenamed(dict(zip(("root_model", "root_column"), root))))
+    last = seen
     while max_depth is None or depth < max_depth:
-        depth += 1
-        nxt = frontier.select("root_model", "root_column", F.col("model").alias("m"), F.col("column").alias("c")).join(step, ["m", "c"]).select(*keys).distinct()
-        frontier = cut(nxt.join(seen, keys, "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        frontier = last.where("on").select(F.col("near_model").alias("m"), F.col("near_column").alias("c"), *[F.col(k).alias(f"kept_{k}") for k in far])
+        kept = frontier.select(*[f"kept_{k}" for k in far]).distinct()
+        n = kept.count()
+        if not n:
             break
-        seen = grown(seen, frontier, depth)
-    return seen
+        depth += 1
+        nxt = step.withColumnsRenamed(dict(zip(far, "mc"))).join(frontier, ["m", "c"]).select(*near, *[F.col(f"kept_{k}").alias(k) for k in far], "on", F.lit(depth).alias("depth"))
+        before = seen if n > MOST_KEPT else seen.join(F.broadcast(kept), [F.col(k).eqNullSafe(F.col(f"kept_{k}")) for k in far], "left_semi")
+        found = nxt.unionByName(before).groupBy(*pair).agg(F.max("on").alias("on"), F.min("depth").alias("depth"))
+        last = cut(found.where(F.col("depth") == depth))
+        seen = grown(seen, last, depth)
+    return seen.select(*[F.col(k).alias(v) for k, v in zip((*root, *target), ("root_model", "root_column", "model", "column"))], "depth")
 
 
 def immediate_downstream(edges: DataFrame) -> DataFrame:
