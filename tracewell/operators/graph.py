@@ -152,32 +152,37 @@ def node_edges(nodes: DataFrame) -> DataFrame:
     return e.join(nodes.select(F.col("unique_id").alias("parent_uid")), "parent_uid", "left_semi").distinct().select("parent_uid", "child_uid")
 
 
-def _peeled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((unique_id, depth) of the nodes that aren't on or behind a cycle, unique_id of those that are).
+def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(unique_id, depth): the longest way to each node; null on or behind a cycle.
 
-    Level by level, each checkpointed: nodes none of whose parents is left have the level as their longest way.
+    Only nodes that have children go level by level, each checkpointed: those none of whose parents is left have the level as their longest
+    way. One pass over all edges then gives every node the longest way of its parents and one more.
     """
-    left, step = cut(nodes.select("unique_id").distinct()), cut(edges.select(F.col("parent_uid").alias("unique_id"), "child_uid").distinct())
+    known, step = nodes.select("unique_id").distinct(), edges.select("parent_uid", "child_uid")
+    left = cut(known.join(step.select(F.col("parent_uid").alias("unique_id")).distinct(), "unique_id", "left_semi"))
+    inner = cut(step.join(left.withColumnRenamed("unique_id", "child_uid"), "child_uid", "left_semi").select(F.col("parent_uid").alias("unique_id"), "child_uid").distinct())
     found, depth = left.where("false").withColumn("depth", F.lit(0)), 0
     while True:
-        blocked = step.join(left, "unique_id", "left_semi").select(F.col("child_uid").alias("unique_id"))
+        blocked = inner.join(left, "unique_id", "left_semi").select(F.col("child_uid").alias("unique_id"))
         ready = cut(left.join(blocked, "unique_id", "left_anti"))
         if ready.isEmpty():
-            return found, left
+            break
         left, depth = cut(left.join(ready, "unique_id", "left_anti")), depth + 1
         found = grown(found, ready.withColumn("depth", F.lit(depth - 1)), depth)
+    parents = found.union(left.withColumn("depth", F.lit(None).cast("int")))
+    below = step.join(parents.withColumnRenamed("unique_id", "parent_uid"), "parent_uid").groupBy(F.col("child_uid").alias("unique_id")).agg(F.max("depth").alias("d"), F.min(F.col("depth").isNotNull()).alias("ended"))
+    return known.join(below, "unique_id", "left").select("unique_id", F.when(F.col("ended").isNull(), 0).when(F.col("ended"), F.col("d") + 1).alias("depth"))
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(unique_id, depth): the longest way from a node without parents. Nodes on or behind a cycle get 0."""
-    found, cyclic = _peeled(nodes, edges)
-    return found.union(cyclic.withColumn("depth", F.lit(0)))
+    return _peeled(nodes, edges).select("unique_id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with their depth in an order where parents come first; a cycle is an error."""
-    d, cyclic = _peeled(nodes, edges)
-    if not cyclic.isEmpty():
+    d = cut(_peeled(nodes, edges))
+    if not d.where("depth IS NULL").isEmpty():
         raise ValueError("the graph has a cycle")
     return nodes.join(d, "unique_id").orderBy("depth", "ord")
 
